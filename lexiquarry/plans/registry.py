@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import catalog_queries, text_queries
+
+QUERIES = text_queries.QUERIES | catalog_queries.QUERIES
+ORACLES = text_queries.ORACLES | catalog_queries.ORACLES

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def findable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it was imported from a folder that isn't on their path."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
 
 def build_session(app: str = "lexiquarry", master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session with AQE, UTC and Arrow; on a cluster pass the session that exists instead."""
