@@ -10,12 +10,14 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MARKS = re.compile("[̀-ͯ]")
-_WORD = re.compile(r"[^\W_]", re.UNICODE)
+_SIDE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())]))
+DIFF = T.StructType([T.StructField("left", _SIDE), T.StructField("right", _SIDE), T.StructField("truncated", T.BooleanType())])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_fold(values: pd.Series) -> pd.Series:
     """Lower case, compatibility decomposition, combining marks dropped; null counts as empty."""
     return values.map(lambda v: _MARKS.sub("", unicodedata.normalize("NFKD", (v or "").lower())))
@@ -54,7 +56,7 @@ def diff_of(left: list[str], right: list[str], most: int = 250) -> dict:
     return out
 
 
-@F.pandas_udf("left array<struct<text:string,changed:boolean>>, right array<struct<text:string,changed:boolean>>, truncated boolean")
+@F.pandas_udf(DIFF)
 def word_diff(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """diff_of for arrays of tokens."""
     return pd.DataFrame([diff_of(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(left, right)], columns=["left", "right", "truncated"])
@@ -97,24 +99,24 @@ def assigned_value(page: str | None, name: str) -> str | None:
     raise ValueError(f"the value assigned to {name} has no end")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def window_assignment(pages: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([assigned_value(p, n) for p, n in zip(pages, names)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzip(values: pd.Series) -> pd.Series:
     """Bytes that start as a gzip stream are unpacked, others stay."""
     return values.map(lambda v: gzip.decompress(v) if v is not None and bytes(v[:2]) == b"\x1f\x8b" else v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_lines(values: pd.Series) -> pd.Series:
     """HTML entities decoded, a byte order mark dropped, line ends made \\n."""
     return values.map(lambda v: None if v is None else html.unescape(v).removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_bytes(values: pd.Series, most: pd.Series) -> pd.Series:
     """At most so many UTF-8 bytes; a character cut in two is dropped."""
     return pd.Series([None if v is None else v.encode()[:n].decode(errors="ignore") for v, n in zip(values, most)])

@@ -134,7 +134,7 @@ def common_chapters(spark, d):
 def edition_pairs(spark, d):
     """Parts as works: those whose names are the same once filler words are gone."""
     parts = table(spark, d, "part").select(F.concat(F.lit("p/"), "p_partkey").alias("key"), F.concat_ws(" of the ", "p_brand", "p_name").alias("title"), F.when(F.col("p_partkey") % 3 == 0, "bibliographic").otherwise("local-readable").alias("content_state"))
-    return align.edition_pairs(align.with_identity(parts, "title"))
+    return align.edition_pairs(align.with_identity(parts, "title")).select("key", "other")
 
 
 def blank_line_blocks(spark, d):
