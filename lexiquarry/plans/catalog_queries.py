@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, crossrefs, hierarchy, state, validate
+from ..operators import build, catalog, crossrefs, hierarchy, state, study, validate
 from .text_queries import table
 
 EVENT_KINDS = ("click", "error", "purchase", "signup", "view", "refund")
@@ -205,7 +205,51 @@ def titles_in_order(spark, d):
     return hierarchy.by_title(table(spark, d, "part").select(F.col("p_name").alias("title")).distinct()).limit(100)
 
 
-QUERY_NAMES = ("classify_default", "classify_multilabel", "category_summary", "group_records", "acquisition_works", "distinct_first_seen", "shelf_summary", "state_histogram_zero_filled", "dense_index", "edition_rollup", "upsert_works", "mapping_coverage", "mapping_kinds", "works_with_editions", "backlinks_prefix", "xref_invert", "parallel_passages", "references_by_verse", "orphan_anti", "fk_violations", "duplicate_keys", "work_validation", "validation_verdict", "last_position", "bookmark_toggle", "highlight_toggle", "note_last_write", "history_dedup_cap", "import_cascade_delete", "plan_progress", "collection_replace", "annotated_chapter", "sources_listing", "titles_in_order")
+def study_context(spark, d):
+    """Orders as study records: commentary by line, references by part, the first twelve of each chapter."""
+    line = table(spark, d, "lineitem").select((F.col("l_orderkey") % 97).cast("string").alias("study_id"), (F.col("l_orderkey") % 3).cast("string").alias("chapter"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_returnflag", "l_partkey", "l_linenumber")
+    notes = study.commentary_rows(line.filter("l_linenumber = 1").select("study_id", "chapter", "pos", F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_returnflag")).alias("verses"), F.when(F.col("l_partkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" part "), "l_partkey")).alias("text")))
+    refs = study.reference_rows(line.filter("l_linenumber > 4").select("study_id", "chapter", "pos", F.col("l_returnflag").alias("verse"), F.lit("").alias("anchor"), F.array(F.col("l_partkey").cast("string"), F.lit("x")).alias("references")))
+    return study.context(notes.unionByName(refs)).select("study_id", "chapter", "id", "passage", "text", "place")
+
+
+def study_profiles(spark, d):
+    rows = table(spark, d, "part").select(F.lit("reference").alias("kind"), F.col("p_partkey").cast("string").alias("study_id"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("sourceUrl"), F.lit("u"), F.lit("size"), F.when(F.col("p_size") > 25, "").otherwise(F.col("p_size").cast("string"))).alias("fields"))
+    return study.context(study.profile_rows(rows)).select("study_id", "id", "passage", "text")
+
+
+def study_mapping(spark, d):
+    """Customers as works, nations as resources of two kinds, one of which some mappings miss."""
+    mapping = table(spark, d, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("work_key"), F.when(F.col("c_custkey") % 2 == 0, "bible").otherwise("reference").alias("kind"), F.col("c_nationkey").alias("study_id"))
+    nation = table(spark, d, "nation")
+    resources = nation.select(F.lit("bible").alias("kind"), F.col("n_nationkey").alias("study_id"), F.col("n_name").alias("title")).unionByName(nation.filter("n_nationkey < 15").select(F.lit("reference").alias("kind"), F.col("n_nationkey").alias("study_id"), F.lower("n_name").alias("title")))
+    works_ = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return study.resolved(works_, mapping, resources).select("key", "kind", "title")
+
+
+def work_extraction(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_size").alias("edition_ord"), F.col("p_partkey").alias("book_ord"), F.concat_ws("/", F.regexp_replace("p_brand", "#", "-"), F.col("p_partkey").cast("string")).alias("key"), F.when(F.col("p_partkey") % 3 == 0, "bibliographic").when(F.col("p_partkey") % 3 == 1, "source-readable").alias("availability"), F.lit("").alias("url1"), F.when(F.col("p_partkey") % 2 == 0, "http://a").alias("url2"), F.lit(None).cast("string").alias("url3"), F.lit("http://z").alias("url4"))
+    return build.extracted(rows, rows.filter("book_ord % 7 = 0").select("key")).select("key", "content_state", "source_url", "reader_path", F.col("work_index").cast("long").alias("work_index"))
+
+
+def work_integration(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("edition_ord"), F.col("s_suppkey").alias("book_ord"), F.col("s_name").alias("key"))
+    base = catalog.dense_index(rows.filter("book_ord % 2 = 0"), ["edition_ord", "book_ord", "key"])
+    return build.integrated(base, rows).select("key", F.col("work_index").cast("long").alias("work_index"))
+
+
+def acquisition_report(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "role", F.lit(0).alias("chapter_ord"), F.col("turn").alias("seg_idx"), "text")
+    return build.report(rows, "conv_id", "role")
+
+
+def companion_records(spark, d):
+    rows = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.concat(F.lit("c"), "l_orderkey").alias("id"), F.concat(F.lit("w/"), F.col("l_partkey") % 50).alias("primary_work"), F.concat(F.lit("w/"), F.col("l_suppkey") + 5).alias("companion_work"))
+    titles = table(spark, d, "part").select(F.concat(F.lit("w/"), "p_partkey").alias("key"), F.col("p_name").alias("title")).filter("key <> 'w/7'")
+    return crossrefs.companions(rows, titles, "w/10").select("id", "companion_work", "companion_title")
+
+
+QUERY_NAMES = ("study_context", "study_profiles", "study_mapping", "work_extraction", "work_integration", "acquisition_report", "companion_records", "classify_default", "classify_multilabel", "category_summary", "group_records", "acquisition_works", "distinct_first_seen", "shelf_summary", "state_histogram_zero_filled", "dense_index", "edition_rollup", "upsert_works", "mapping_coverage", "mapping_kinds", "works_with_editions", "backlinks_prefix", "xref_invert", "parallel_passages", "references_by_verse", "orphan_anti", "fk_violations", "duplicate_keys", "work_validation", "validation_verdict", "last_position", "bookmark_toggle", "highlight_toggle", "note_last_write", "history_dedup_cap", "import_cascade_delete", "plan_progress", "collection_replace", "annotated_chapter", "sources_listing", "titles_in_order")
 QUERIES = {n: globals()[n] for n in QUERY_NAMES}
 
 _list = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -230,6 +274,13 @@ _CHECK = f"WITH {_WORKS}, v AS (SELECT key, content_state, CASE WHEN work_index
 _TOGGLE = "SELECT user_id, work, max(ts) AS created_at FROM g WHERE kind = 'click' GROUP BY ALL HAVING count(*) % 2 = 1"
 
 ORACLES = {
+    "study_context": "WITH l AS (SELECT CAST(l_orderkey % 97 AS VARCHAR) AS s, CAST(l_orderkey % 3 AS VARCHAR) AS c, l_orderkey * 10 + l_linenumber AS pos, l_returnflag AS f, l_partkey AS p, l_linenumber AS n FROM lineitem), r AS (SELECT s, c, 0 AS part, pos, 'study:bible:' || s || '|' || c || '|commentary-' || CAST(pos + 1 AS VARCHAR) AS id, CASE WHEN f = 'R' THEN 'Commentary' ELSE f END AS passage, 'part ' || CAST(p AS VARCHAR) AS text FROM l WHERE n = 1 AND p % 5 <> 0 UNION ALL SELECT s, c, 1, pos, 'study:bible:' || s || '|' || c || '|crossref-' || CAST(pos + 1 AS VARCHAR), f, 'Reference: ' || CAST(p AS VARCHAR) || ', x' FROM l WHERE n > 4), k AS (SELECT *, row_number() OVER (PARTITION BY s, c ORDER BY part, pos, text, passage) AS place FROM r) SELECT s AS study_id, c AS chapter, id, passage, text, CAST(place AS INTEGER) AS place FROM k WHERE place <= 12",
+    "study_profiles": "SELECT CAST(p_partkey AS VARCHAR) AS study_id, 'study:reference:' || CAST(p_partkey AS VARCHAR) || '|profile|brand' AS id, 'brand' AS passage, p_brand AS text FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'study:reference:' || CAST(p_partkey AS VARCHAR) || '|profile|size', 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_size <= 25",
+    "study_mapping": "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'bible' ELSE 'reference' END END AS kind, CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN n_name WHEN n_nationkey < 15 THEN lower(n_name) END END AS title FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
+    "work_extraction": "SELECT replace(p_brand, '#', '-') || '/' || CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 7 = 0 THEN 'local-readable' WHEN p_partkey % 3 = 0 THEN 'bibliographic' WHEN p_partkey % 3 = 1 THEN 'source-readable' ELSE 'catalog-only' END AS content_state, CASE WHEN p_partkey % 2 = 0 THEN 'http://a' ELSE 'http://z' END AS source_url, CASE WHEN p_partkey % 7 = 0 THEN 'books/' || replace(p_brand, '#', '-') || '/' || CAST(p_partkey AS VARCHAR) || '.json' END AS reader_path, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS work_index FROM part",
+    "work_integration": "SELECT s_name AS key, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 0) END + row_number() OVER (PARTITION BY s_suppkey % 2 = 0 ORDER BY s_nationkey, s_suppkey) - 1 AS BIGINT) AS work_index FROM supplier",
+    "acquisition_report": "SELECT conv_id, count(DISTINCT role) AS chapters, count(*) AS segments, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)) AS sha256 FROM conversations GROUP BY conv_id",
+    "companion_records": "SELECT 'c' || CAST(l_orderkey AS VARCHAR) AS id, 'w/' || CAST(l_suppkey + 5 AS VARCHAR) AS companion_work, p_name AS companion_title FROM lineitem LEFT JOIN part ON p_partkey = l_suppkey + 5 AND p_partkey <> 7 WHERE l_linenumber = 1 AND l_partkey % 50 = 10",
     "classify_default": f"""WITH {_WORKS} SELECT key, CASE WHEN rg IS NOT NULL AND NOT bible THEN 'restoration' WHEN jg IS NOT NULL AND NOT bible THEN 'jewish' WHEN apo THEN 'apocrypha' WHEN pse THEN 'pseudepigrapha' WHEN gno THEN 'gnostic' WHEN section = 'Hymns & Songs' THEN 'hymns' WHEN early THEN 'early-christian' WHEN eth THEN 'ethiopian' WHEN bible AND part = 'nt' THEN 'new-testament' WHEN bible AND part = 'other' THEN 'apocrypha' WHEN bible THEN 'hebrew-bible' WHEN content_state <> 'local-readable' THEN 'sources' ELSE 'hebrew-bible' END AS category,
 CASE WHEN rg IS NOT NULL AND NOT bible THEN rg WHEN jg IS NOT NULL AND NOT bible THEN jg WHEN apo THEN 'christian-apocrypha' WHEN pse THEN CASE WHEN eno THEN 'enochic' ELSE 'other-pseudepigrapha' END WHEN gno OR section = 'Hymns & Songs' OR early OR eth THEN '' WHEN bible AND part = 'other' THEN 'biblical-apocrypha' ELSE '' END AS "group" FROM y""",
     "classify_multilabel": f"WITH {_WORKS} SELECT key, part, category_id FROM ({_MULTI})",

@@ -1,6 +1,6 @@
 """User state kept up to date from a stream of events.
 
-The reference semantics are those of lexiquarry.operators.state; here the log arrives in micro-batches.
+The folds are those of lexiquarry.operators.state; here the log arrives in micro-batches.
 """
 
 from __future__ import annotations
