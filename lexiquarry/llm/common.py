@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexiquarry-{name}-{uuid.uuid4().hex}"
 
 
+_watched: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def stashes() -> Iterator[list[str]]:
+    """The paths that stash() writes meanwhile, for a caller who knows when they are no longer read."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders by the file system that they are in."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet in the shared folder, and read again: computed once, columns still prunable."""
     path = scratch(df.sparkSession, name)
+    for made in _watched:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
