@@ -6,10 +6,14 @@ columns of documents. Labels come from the labels table beside the documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiquarry.llm import jaccard_join, mixing, packing, quality_rules, toxicity
-from lexiquarry.llm.common import scratch
+from lexiquarry.llm.common import remove, scratch, stashes
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", without_toxic), ("quality_rules", within_rules), ("jaccard_join", without_copies), ("mixing", mixed), ("packing", packed)]
+_held: dict[int, list[str]] = {}
+
+
+def _staged(k: int, stage: Stage) -> Stage:
+    """The stage, which first deletes what the stage before held in the shared folder: its rows have been written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _held.pop(k - 1, []))
+        with stashes() as made:
+            out = stage(spark, docs, sf_dir)
+        _held[k] = made
+        return out
+
+    return run
+
+
+STAGES = [(name, _staged(k, stage)) for k, (name, stage) in enumerate([("toxicity", without_toxic), ("quality_rules", within_rules), ("jaccard_join", without_copies), ("mixing", mixed), ("packing", packed)])]
 
 #: Training a model and chosen paths aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
