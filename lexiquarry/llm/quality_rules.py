@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
 Each rule has a fixed list of cutoffs from lenient to strict. In each stratum (language) the labelled good documents
-are a holdout: a cutoff stands while the exact binomial test still rejects "more than the allowed share of good
-documents goes". Within a rule the cutoffs are tested in order and the first failure ends the test, which needs no
-correction; over rules and strata the error is split evenly (Bonferroni), and so is the allowed share over rules.
+are a holdout. All rules' cutoffs form one fixed sequence that tightens a rule at a time, in turn; a step stands while
+the exact binomial test still rejects "more than the allowed share of good documents goes by any rule so far". The
+first failure ends a stratum's test, which needs no correction; over the strata that have good documents the error is
+split evenly (Bonferroni).
 """
 
 from __future__ import annotations
@@ -96,19 +97,22 @@ def most_rejected(n: Column, share: float, delta: Column) -> Column:
 def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, prefix: str = "q_") -> DataFrame:
     """One row for each stratum of features(doc_id, lang, ...): stratum, n (rows), n_good, and cut_<rule> or null where none stands.
 
-    Good: labelled with quality 1 and no other quality, base rule passed. Labels without quality or document don't count.
+    The sequence sets each rule in turn to its first cutoff, then each to its second, and so on. Good: labelled with quality 1 and no other quality, base rule passed. Labels without quality or document don't count.
     """
     good = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good")).filter("good")
     rows = features.select("doc_id", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")).alias("stratum"), (~F.col(prefix + "base_failed")).alias("passed"), *(v.alias(k) for k, v in rule_values(prefix).items()))
     rows = rows.join(good, "doc_id", "left").withColumn("good", F.coalesce(F.col("good") & F.col("passed"), F.lit(False)))
-    above = [F.array(*(F.count_if(F.col("good") & (F.col(rule) > c)) for c in cs)).alias("above_" + rule) for rule, cs in RULES.items()]
-    by = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("n_good"), *above)
-    share = alpha / len(RULES)
-    each = F.lit(delta) / (F.count(F.lit(1)).over(Window.partitionBy()) * len(RULES))
-    by = by.withColumn("delta", each).withColumn("k", most_rejected(F.col("n_good"), share, F.col("delta")))
+    steps = [(cs[t], rule) for t in range(max(map(len, RULES.values()))) for rule, cs in RULES.items() if t < len(cs)]
+    goes = F.coalesce(*(F.when(F.col(rule) > c, k) for k, (c, rule) in enumerate(steps)))  # the first step that rejects a row
+    rows = rows.withColumn("goes", F.when(F.col("good"), goes))
+    above = F.array(*(F.count_if(F.col("goes") <= k) for k in range(len(steps))))
+    by = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("n_good"), above.alias("above"))
+    strata = F.count_if(F.col("n_good") > 0).over(Window.partitionBy())
+    by = by.withColumn("delta", delta / F.greatest(strata, F.lit(1))).withColumn("k", most_rejected(F.col("n_good"), alpha, F.col("delta")))
+    by = by.withColumn("stands", F.size(F.filter("above", lambda x: x <= F.col("k"))))  # counts only grow along the sequence
     for rule, cs in RULES.items():
-        stands = F.size(F.filter("above_" + rule, lambda x: x <= F.col("k")))  # counts only grow along the list
-        by = by.withColumn("cut_" + rule, F.get(F.array(*map(F.lit, cs)), stands - 1))
+        own = F.array(*(F.lit(k) for k, (_, name) in enumerate(steps) if name == rule))
+        by = by.withColumn("cut_" + rule, F.get(F.array(*map(F.lit, cs)), F.size(F.filter(own, lambda k: k < F.col("stands"))) - 1))
     return by.select("stratum", "n", "n_good", *("cut_" + rule for rule in RULES))
 
 

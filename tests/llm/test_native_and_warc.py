@@ -129,3 +129,21 @@ def test_quality_cutoffs_hold(spark):
     kept = {r["doc_id"] for r in quality_rules.keep(frame, labels).collect()}
     assert kept == set(range(6000))
     assert quality_rules.keep(frame.limit(0), labels).count() == 0 and quality_rules.keep(frame, labels.limit(0)).count() == 6050
+
+
+def test_quality_cutoffs_share_the_bound(spark):
+    """217 good rows are enough for a language of four, whatever others without good rows there are; a step that rejects good rows ends the test for all rules."""
+    good = " ".join(f"w{i}" for i in range(100))
+    good_rows = {lang: [(1000 * k + i, good + ("!" * 35 if lang == "d" and i < 9 else ""), lang, "s", 0, 0) for i in range(n)] for k, (lang, n) in enumerate([("a", 217), ("b", 216), ("c", 217), ("d", 217)])}
+    bad = [(10_000 + k, good + " #!" * 60, lang, "s", 0, 0) for k, lang in enumerate("abcdefg")]
+    labels = spark.createDataFrame([(r[0], 1) for rows in good_rows.values() for r in rows], "doc_id long, quality int")
+    features = common.stash(quality_rules.with_features(spark.createDataFrame([*sum(good_rows.values(), []), *bad], DOCS)), "features")
+    cuts = {r["stratum"]: r for r in quality_rules.cutoffs(features, labels).collect()}
+    strict = {"cut_" + rule: cs[-1] for rule, cs in quality_rules.RULES.items()}
+    for lang in "ac":
+        assert {c: cuts["=" + lang][c] for c in strict} == strict
+    for lang in "befg":
+        assert all(cuts["=" + lang][c] is None for c in strict)
+    assert cuts["=d"]["cut_bangs"] == 0.4 and cuts["=d"]["cut_upper"] == 0.4 and cuts["=d"]["cut_symbols"] == 0.3
+    kept = {r["doc_id"] for r in quality_rules.judged(features, labels).filter("q_kept").collect()}
+    assert {i - 10_000 for i in kept if i >= 10_000} == {1, 4, 5, 6} and len(kept) == 867 + 4
