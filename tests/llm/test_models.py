@@ -269,6 +269,20 @@ def test_kneser_ney_keeps_like_text(spark):
     assert all(r["kn_kept"] for r in kneser_ney.judged(frame, labels.limit(0)).collect())
 
 
+def test_kneser_ney_thresholds_of_few(spark):
+    """At the default bound, few trusted rows give thresholds too, and a language with under 50 of them has that of all."""
+    rng = random.Random(3)
+    like = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(40))
+    junk = lambda: " ".join(f"junk{rng.random()}" for _ in range(40))
+    rows = [(i, like(), "en" if i < 250 else "fr", "s", 0) for i in range(300)] + [(1000 + i, junk(), lang, "s", 0) for i, lang in enumerate(["en", "fr", "xx", None])] + [(2000, "", "fr", "s", 0)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in kneser_ney.judged(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert not any(got[1000 + i]["kn_kept"] for i in range(4)) and sum(got[i]["kn_kept"] for i in range(300)) >= 285 and got[2000]["kn_kept"]
+    assert got[0]["kn_threshold"] is not None and got[299]["kn_threshold"] == got[1002]["kn_threshold"] == got[1003]["kn_threshold"]
+    few = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    assert {r["doc_id"] for r in kneser_ney.judged(spark.createDataFrame(rows, DOCS), few).filter("NOT kn_kept").collect()} >= {1000, 1001, 1002, 1003}
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(6)
     vocabulary = [f"word{i}" for i in range(300)]
