@@ -2,7 +2,8 @@
 
 Hashed word embeddings, filters of several widths, maximum over the whole text, one logistic layer. It is fitted on
 the driver on a bounded sample of labelled rows; every text is then scored in one pass without a shuffle. Scores see
-the text alone. Thresholds for rejecting are calibrated by language on rows that the fit has not seen.
+the text alone. Thresholds for rejecting are calibrated by language on all labelled rows that the fit has not seen,
+which are scored where they are and counted by language and score.
 """
 
 from __future__ import annotations
@@ -14,17 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, cut
 
-#: Labelled rows for the fit and the calibration, at most so many of each class; the first by a hash of doc_id.
+#: Labelled rows for the fit, at most so many of each class; the first by a hash of doc_id.
 SAMPLE_ROWS = 3000
-#: Longer texts than this many bytes stay out of the sample (they are scored like all others).
+#: Longer texts than this many bytes stay out of the sample (they are scored and calibrate like all others).
 SAMPLE_BYTES = 16_384
 #: Of the sample, one row in so many calibrates and isn't fitted.
 CALIBRATION = 4
+#: Logits are counted in steps of one in so many, up to a size.
+STEP, LARGEST = 64, 64
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 12
 BATCH, RATE, DECAY, MIN_ROWS = 32, 0.01, 1e-4, 3
 #: How often a clean text is shown as a short or empty excerpt, which is clean too.
@@ -177,10 +181,10 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: in
     return m
 
 
-def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Scale and shift that make weighted logits probabilities; Newton steps with a little ridge."""
+def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that make weighted logits, each of so many rows, probabilities; Newton steps with a little ridge."""
     # targets as Platt smooths them
-    pos, neg = (labels == 1).sum(), (labels == 0).sum()
+    pos, neg = counts[labels == 1].sum(), counts[labels == 0].sum()
     t = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x = np.stack([logits / (np.abs(logits).max() + 1e-9), np.ones(len(logits))], axis=1)
     at = np.zeros(2)
@@ -202,9 +206,9 @@ def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return max(float(at[0] / (np.abs(logits).max() + 1e-9)), 1e-3), float(at[1])
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> float:
     """The threshold with the best weighted F1, halfway to the next score below, within BOUNDS; UNSURE where rows of a class are too few."""
-    if min((labels == 1).sum(), (labels == 0).sum()) < LEAST_CALIBRATED:
+    if min(counts[labels == 1].sum(), counts[labels == 0].sum()) < LEAST_CALIBRATED:
         return UNSURE
     order = np.argsort(-scores, kind="stable")
     s, hit, miss = scores[order], np.cumsum((weights * labels)[order]), np.cumsum((weights * (1 - labels))[order])
@@ -218,47 +222,76 @@ def trainable(column: str = "doc_id") -> Column:
     return F.pmod(crc_of_id(column), F.lit(5)) != 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray, list, np.ndarray]:
-    """Buckets, labels, languages and weights (rows that one stands for) of at most `rows` labelled texts of each class.
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of trainable labels. Rows with conflicting labels count as toxic; labels that are null or without a document aren't used."""
+    return labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & trainable()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
-    Rows with conflicting labels count as toxic; labels that are null or without a document aren't used.
-    """
-    by = cut(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & trainable()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    share = {r["toxic"]: r["count"] for r in by.groupBy("toxic").count().collect()}
+
+def sample(docs: DataFrame, by: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets and labels of at most `rows` texts of each class of by(doc_id, toxic)."""
     picked = [by.filter(F.col("toxic") == k).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows ids
-    texts = docs.select("doc_id", "lang", "text").join(chosen, "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             ids = [words(t.as_py()).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("toxic"), pa.array(ids, pa.binary())], names=["doc_id", "lang", "toxic", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"])
+
+    got = sorted(texts.mapInArrow(buckets, "doc_id long, toxic int, ids binary").collect(), key=lambda r: (r["doc_id"], r["ids"]))
+    return [np.frombuffer(r["ids"], np.int32).reshape(-1, 2) for r in got], np.asarray([r["toxic"] for r in got], np.float32)
+
+
+def counted(docs: DataFrame, by: DataFrame, model: Model, fitted: frozenset[int]) -> list:
+    """Rows of docs with a label in by(doc_id, toxic), counted by lang, toxic and step of the logit, which is null for a fitted text.
+
+    All trainable texts are scored before their labels meet them, so the join moves no text.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model, fitted))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (m, seen), words = sent.value, Words()
+        for b in batches:
+            out, part, size = [], [], 0
+            for k, text in enumerate(b.column("text"), 1):
+                part.append(words(text.as_py()))
+                size += len(part[-1])
+                if size > 50_000 or k == b.num_rows:
+                    steps = np.rint(np.clip(m.logits(part), -LARGEST, LARGEST) * STEP).astype(int).tolist()
+                    out += [None if xxhash.xxh64_intdigest(d.tobytes()) in seen else x for d, x in zip(part, steps)]
+                    part, size = [], 0
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(out, pa.int32())], names=["doc_id", "lang", "step"])
 
-    got = sorted(texts.mapInArrow(buckets, "doc_id long, lang string, toxic int, ids binary").collect(), key=lambda r: (r["doc_id"], r["ids"]))
-    y = np.asarray([r["toxic"] for r in got], np.float32)
-    weights = np.asarray([share[r["toxic"]] / max(1, min(rows, share[r["toxic"]])) for r in got], np.float64)
-    return [np.frombuffer(r["ids"], np.int32).reshape(-1, 2) for r in got], y, [r["lang"] for r in got], weights
+    rows = docs.filter(F.col("doc_id").isNotNull() & trainable()).select("doc_id", "lang", "text").mapInArrow(place, "doc_id long, lang string, step int")
+    return rows.join(by, "doc_id").groupBy("lang", "toxic", "step").count().collect()
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> tuple[Model, dict[str | None, float]]:
     """The model and the threshold of each language; the key "*" holds that of all."""
-    x, y, langs, weights = sample(docs, labels, rows)
+    by = cut(known(labels))
+    x, y = sample(docs, by, rows)
     held = np.asarray([zlib.crc32(d.tobytes()) % CALIBRATION == 0 for d in x], bool)  # copies fall on one side
     model = fit([d for d, h in zip(x, held) if not h], y[~held], steps)
-    cal = [d for d, h in zip(x, held) if h]
-    z, t, w = np.concatenate([model.logits(cal[i : i + 64]) for i in range(0, len(cal), 64)] or [np.zeros(0)]).astype(np.float64), y[held], weights[held]
+    all_rows = counted(docs, by, model, frozenset(xxhash.xxh64_intdigest(d.tobytes()) for d, h in zip(x, held) if not h))
+    got = sorted((r for r in all_rows if r["step"] is not None), key=lambda r: (r["lang"] or "", r["toxic"], r["step"]))
+    z, t, n = (np.asarray([f(r) for r in got], np.float64) for f in (lambda r: r["step"] / STEP, lambda r: r["toxic"], lambda r: r["count"]))
+    # the rows of a class that aren't fitted stand for all of it
+    w = n.copy()
+    for k in (0, 1):
+        w[t == k] *= sum(r["count"] for r in all_rows if r["toxic"] == k) / max(1, n[t == k].sum())
     if len(t) and t.min() != t.max():
         # a text without words counts as a clean one among these, with a twentieth of all their weight
         bare = model.logits([np.zeros((0, 2), np.int32)])
-        model.scale, model.shift = platt(np.append(z, bare), np.append(t, 0), np.append(w / w.mean(), len(w) / 20))
+        each = w.sum() / n.sum()
+        model.scale, model.shift = platt(np.append(z, bare), np.append(t, 0), np.append(w / each, n.sum() / 20), np.append(n, 1))
     s = _sigmoid(model.scale * z + model.shift)
-    own = np.asarray([lang if lang is not None else "" for lang, h in zip(langs, held) if h], object)
-    thresholds: dict[str | None, float] = {"*": best_threshold(s, t, w)}
+    own = np.asarray([r["lang"] if r["lang"] is not None else "" for r in got], object)
+    thresholds: dict[str | None, float] = {"*": best_threshold(s, t, w, n)}
     for lang in set(own.tolist()):
         at = own == lang
-        if min((t[at] == 1).sum(), (t[at] == 0).sum()) >= LEAST_CALIBRATED:
-            thresholds[lang or None] = best_threshold(s[at], t[at], w[at])
+        if min(n[at & (t == 1)].sum(), n[at & (t == 0)].sum()) >= LEAST_CALIBRATED:
+            thresholds[lang or None] = best_threshold(s[at], t[at], w[at], n[at])
     return model, thresholds
 
 

@@ -309,3 +309,19 @@ def test_toxicity_learns(spark):
     assert alone == pytest.approx({i: r["tox_score"] for i, r in got.items()}, abs=1e-5)  # whatever stands beside it
     swapped = {r["doc_id"]: r["tox_score"] for r in toxicity.scored(frame.withColumn("lang", F.lit("zz")), model, thresholds).collect()}
     assert swapped == {i: r["tox_score"] for i, r in got.items()}
+
+
+def test_toxicity_thresholds_of_all_rows(spark):
+    """However small the sample and long the texts, every labelled row that isn't fitted counts for its language's threshold."""
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(1600):
+        lang = "long" if i % 8 == 7 else "en" if i % 2 else None
+        w = [rng.choice(vocabulary) for _ in range(2500 if lang == "long" else 40)]
+        if i % 5 == 0:
+            w[rng.randrange(len(w))] = "vile"
+        rows.append((i, " ".join(w), lang, "s", 0))
+    frame = spark.createDataFrame(rows, DOCS)
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    assert set(toxicity.trained(frame, known, rows=100, steps=300)[1]) == {"*", "en", "long", None}
