@@ -37,10 +37,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """One row for each pattern of entries(pattern, action, listed): spans, an array of (since, until, action) in order.
 
     An entry holds from its date until the pattern's next one. Of entries of one pattern and date, "allow" wins over
-    "block". Rows with a null pattern, action or date are no entries.
+    "block". Rows with a null pattern, action or date are no entries. A pattern's host is in lower case, its path as it is.
     """
     good = entries.filter(F.col("pattern").isNotNull() & F.col("action").isNotNull() & F.col("listed").isNotNull())
-    dated = good.groupBy(F.lower("pattern").alias("pattern"), "listed").agg(F.min("action").alias("action"))
+    pattern = F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.regexp_extract("pattern", "(?s)^[^/]*(/.*)$", 1))
+    dated = good.groupBy(pattern.alias("pattern"), "listed").agg(F.min("action").alias("action"))
     by = dated.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("listed", "action"))).alias("dates"))
     spans = F.transform("dates", lambda x, k: F.struct(x["listed"].alias("since"), F.get("dates", k + 1)["listed"].alias("until"), x["action"].alias("action")))
     return by.select("pattern", spans.alias("spans"))

@@ -29,6 +29,14 @@ def test_url_lists(spark):
     assert url_filters.keep(frame, entries).columns == frame.columns
 
 
+def test_url_list_paths_keep_their_case(spark):
+    entries = spark.createDataFrame([("Bad.com/Ads", "block", day(1)), ("bad.COM/ads", "allow", day(1)), ("ok.org/X/y", "block", day(1))], "pattern string, action string, listed date")
+    rows = [("http://bad.com/Ads/x", "block"), ("http://BAD.com/Ads", "block"), ("http://bad.com/ads", "allow"), ("http://bad.com/ADS", None), ("http://ok.org/X/y/z", "block"), ("http://ok.org/x/y", None)]
+    frame = spark.createDataFrame([(i, u, day(2)) for i, (u, _) in enumerate(rows)], "id long, url string, fetched date")
+    got = {r["id"]: r["url_action"] for r in url_filters.decided(frame, entries).collect()}
+    assert got == {i: a for i, (_, a) in enumerate(rows)}
+
+
 def test_warc(spark, tmp_path):
     body = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nx"
     rows = [(1, "http://a", body, "p"), (7, "http://b\r\nX: 1", body, "p"), (3, None, "", "p"), (4, "u", None, "p"), (5, "u", "é\n", "p"), (6, "u", "x" * 100_000, "p"), (None, "u", body, "p"), (5, "u", "é\n", "p")]
