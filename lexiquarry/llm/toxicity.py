@@ -2,8 +2,8 @@
 
 Hashed word embeddings, filters of several widths, maximum over the whole text, one logistic layer. It is fitted on
 the driver on a bounded sample of labelled rows; every text is then scored in one pass without a shuffle. Scores see
-the text alone. Thresholds for rejecting are calibrated by language on all labelled rows that the fit has not seen,
-which are scored where they are and counted by language and score.
+the text alone. Thresholds for rejecting are calibrated by language on all labelled rows, each
+scored where it is by a model whose fit has not seen it, and counted by language and score.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from .common import crc_of_id, cut
 SAMPLE_ROWS = 3000
 #: Longer texts than this many bytes stay out of the sample (they are scored and calibrate like all others).
 SAMPLE_BYTES = 16_384
-#: Of the sample, one row in so many calibrates and isn't fitted.
+#: Parts of the labelled rows, by a hash of the words; each is calibrated on by a model fitted without it.
 CALIBRATION = 4
 #: Logits are counted in steps of one in so many, up to a size.
 STEP, LARGEST = 64, 64
@@ -37,9 +36,9 @@ EXCERPTS = 0.3
 BEGINNING = 4
 #: Steps of the fit, about; the passes over the sample follow from it.
 STEPS = 1200
-#: A language with fewer calibration rows of a class uses the threshold of all, which with as few rows is UNSURE.
+#: A language with fewer calibration rows of a class uses the threshold of all, which with as few rows is UNSURE, the score from which a text is predicted toxic.
 LEAST_CALIBRATED = 20
-UNSURE = 0.9
+UNSURE = 0.5
 #: Thresholds stay in these bounds, so that a few odd rows can't reject most texts or none.
 BOUNDS = (0.3, 0.9)
 _EDGES = b".,;:!?\"'()[]{}*$%&#|<>-"
@@ -206,14 +205,14 @@ def platt(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray, counts: n
     return max(float(at[0] / (np.abs(logits).max() + 1e-9)), 1e-3), float(at[1])
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> float:
-    """The threshold with the best weighted F1, halfway to the next score below, within BOUNDS; UNSURE where rows of a class are too few."""
+def best_threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> float:
+    """The threshold with the best F1 over scores of so many rows, halfway to the next score below, within BOUNDS; UNSURE where rows of a class are too few."""
     if min(counts[labels == 1].sum(), counts[labels == 0].sum()) < LEAST_CALIBRATED:
         return UNSURE
     order = np.argsort(-scores, kind="stable")
-    s, hit, miss = scores[order], np.cumsum((weights * labels)[order]), np.cumsum((weights * (1 - labels))[order])
+    s, hit, miss = scores[order], np.cumsum((counts * labels)[order]), np.cumsum((counts * (1 - labels))[order])
     ends = np.append(s[1:] != s[:-1], True)
-    f1 = np.where(ends, 2 * hit / (hit + miss + (weights * labels).sum()), -1)
+    f1 = np.where(ends, 2 * hit / (hit + miss + (counts * labels).sum()), -1)
     k = int(np.argmax(f1))
     return float(np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2, *BOUNDS))
 
@@ -243,23 +242,31 @@ def sample(docs: DataFrame, by: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[lis
     return [np.frombuffer(r["ids"], np.int32).reshape(-1, 2) for r in got], np.asarray([r["toxic"] for r in got], np.float32)
 
 
-def counted(docs: DataFrame, by: DataFrame, model: Model, fitted: frozenset[int]) -> list:
-    """Rows of docs with a label in by(doc_id, toxic), counted by lang, toxic and step of the logit, which is null for a fitted text.
+def fold(ids: np.ndarray) -> int:
+    """The part that a text is in; copies are in one part."""
+    return zlib.crc32(ids.tobytes()) % CALIBRATION
+
+
+def counted(docs: DataFrame, by: DataFrame, models: list[Model]) -> list:
+    """Rows of docs with a label in by(doc_id, toxic), counted by lang, toxic and step of the logit by the model of the text's part.
 
     All trainable texts are scored before their labels meet them, so the join moves no text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model, fitted))
+    sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (m, seen), words = sent.value, Words()
+        words = Words()
         for b in batches:
             out, part, size = [], [], 0
             for k, text in enumerate(b.column("text"), 1):
                 part.append(words(text.as_py()))
                 size += len(part[-1])
                 if size > 50_000 or k == b.num_rows:
-                    steps = np.rint(np.clip(m.logits(part), -LARGEST, LARGEST) * STEP).astype(int).tolist()
-                    out += [None if xxhash.xxh64_intdigest(d.tobytes()) in seen else x for d, x in zip(part, steps)]
+                    of, z = np.asarray([fold(d) for d in part]), np.zeros(len(part))
+                    for f in set(of.tolist()):
+                        at = np.flatnonzero(of == f)
+                        z[at] = sent.value[f].logits([part[i] for i in at])
+                    out += np.rint(np.clip(z, -LARGEST, LARGEST) * STEP).astype(int).tolist()
                     part, size = [], 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(out, pa.int32())], names=["doc_id", "lang", "step"])
 
@@ -271,27 +278,22 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, steps:
     """The model and the threshold of each language; the key "*" holds that of all."""
     by = cut(known(labels))
     x, y = sample(docs, by, rows)
-    held = np.asarray([zlib.crc32(d.tobytes()) % CALIBRATION == 0 for d in x], bool)  # copies fall on one side
-    model = fit([d for d, h in zip(x, held) if not h], y[~held], steps)
-    all_rows = counted(docs, by, model, frozenset(xxhash.xxh64_intdigest(d.tobytes()) for d, h in zip(x, held) if not h))
-    got = sorted((r for r in all_rows if r["step"] is not None), key=lambda r: (r["lang"] or "", r["toxic"], r["step"]))
+    of = np.asarray([fold(d) for d in x], int)
+    models = [fit([d for d, k in zip(x, of) if k != f], y[of != f], steps) for f in range(CALIBRATION)]
+    model = fit(x, y, steps)
+    got = sorted(counted(docs, by, models), key=lambda r: (r["lang"] or "", r["toxic"], r["step"]))
     z, t, n = (np.asarray([f(r) for r in got], np.float64) for f in (lambda r: r["step"] / STEP, lambda r: r["toxic"], lambda r: r["count"]))
-    # the rows of a class that aren't fitted stand for all of it
-    w = n.copy()
-    for k in (0, 1):
-        w[t == k] *= sum(r["count"] for r in all_rows if r["toxic"] == k) / max(1, n[t == k].sum())
     if len(t) and t.min() != t.max():
         # a text without words counts as a clean one among these, with a twentieth of all their weight
         bare = model.logits([np.zeros((0, 2), np.int32)])
-        each = w.sum() / n.sum()
-        model.scale, model.shift = platt(np.append(z, bare), np.append(t, 0), np.append(w / each, n.sum() / 20), np.append(n, 1))
+        model.scale, model.shift = platt(np.append(z, bare), np.append(t, 0), np.append(n, n.sum() / 20), np.append(n, 1))
     s = _sigmoid(model.scale * z + model.shift)
     own = np.asarray([r["lang"] if r["lang"] is not None else "" for r in got], object)
-    thresholds: dict[str | None, float] = {"*": best_threshold(s, t, w, n)}
+    thresholds: dict[str | None, float] = {"*": best_threshold(s, t, n)}
     for lang in set(own.tolist()):
         at = own == lang
         if min(n[at & (t == 1)].sum(), n[at & (t == 0)].sum()) >= LEAST_CALIBRATED:
-            thresholds[lang or None] = best_threshold(s[at], t[at], w[at], n[at])
+            thresholds[lang or None] = best_threshold(s[at], t[at], n[at])
     return model, thresholds
 
 

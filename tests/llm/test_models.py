@@ -325,3 +325,20 @@ def test_toxicity_thresholds_of_all_rows(spark):
     frame = spark.createDataFrame(rows, DOCS)
     known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1600)], "doc_id long, toxic int")
     assert set(toxicity.trained(frame, known, rows=100, steps=300)[1]) == {"*", "en", "long", None}
+
+
+def test_toxicity_few_labels(spark):
+    """30 toxic labels calibrate, all of them; with 10, what is predicted toxic is rejected."""
+    rng = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(60)]
+    texts = [" ".join([rng.choice(vocabulary) for _ in range(30)] + ["vile"] * (i % 5 == 0)) for i in range(400)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    ids = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 5]
+    for n, own in ((30, {"*", "en"}), (10, {"*"})):
+        toxic = [i for i in ids if i % 5 == 0][:n]
+        known = spark.createDataFrame([(i, 1) for i in toxic] + [(i, 0) for i in ids if i % 5][:200], "doc_id long, toxic int")
+        model, thresholds = toxicity.trained(frame, known, steps=300)
+        assert set(thresholds) == own
+        if n == 10:
+            assert thresholds == {"*": 0.5}
+            assert toxicity.scored(frame, model, thresholds).filter("tox_rejected != (tox_score >= 0.5)").count() == 0
