@@ -45,33 +45,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-_held: dict[int, list[str]] = {}
-
-
-def _staged(k: int, stage: Stage) -> Stage:
-    """The stage, which first deletes what the stage before held in the shared folder: its rows have been written by then."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _held.pop(k - 1, []))
-        with stashes() as made:
-            out = stage(spark, docs, sf_dir)
-        _held[k] = made
-        return out
-
-    return run
-
-
-STAGES = [(name, _staged(k, stage)) for k, (name, stage) in enumerate([("toxicity", without_toxic), ("quality_rules", within_rules), ("jaccard_join", without_copies), ("mixing", mixed), ("packing", packed)])]
+STAGES: list[tuple[str, Stage]] = [("toxicity", without_toxic), ("quality_rules", within_rules), ("jaccard_join", without_copies), ("mixing", mixed), ("packing", packed)]
 
 #: Training a model and chosen paths aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet in the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's rows are written as Parquet in the shared folder and read again by the next.
+
+    A stage's own tables and its predecessor's rows are deleted once its rows are written; the last stage's stay until the
+    caller has read them. Two runs at once don't share a table.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         path = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with stashes() as made:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove(spark, made + before)
+        docs, before = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)

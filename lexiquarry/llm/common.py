@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +18,20 @@ HOT_PARTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary folder is set."""
+    """The folder of spark.checkpoint.dir. Only on one machine, and only where it is unset, a temporary folder is set; elsewhere that is an error."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not said:
         said = spark.sparkContext._jsc.sc().getCheckpointDir()
         said = said.get() if said.isDefined() else None
     if not said:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         said = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(said)
     return said.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A small table computed once and kept in the shared folder, its lineage cut; Spark removes it with the frame."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/lexiquarry-{name}-{uuid.uuid4().hex}"
@@ -45,29 +42,109 @@ _watched: list[list[str]] = []
 
 @contextlib.contextmanager
 def stashes() -> Iterator[list[str]]:
-    """The paths that stash() writes meanwhile, for a caller who knows when they are no longer read."""
+    """The paths of the tables written meanwhile, for a caller who knows when they are no longer read. Nothing else deletes them."""
     made: list[str] = []
     _watched.append(made)
     try:
         yield made
     finally:
-        _watched.remove(made)
+        _watched[:] = [w for w in _watched if w is not made]
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables written meanwhile, but for those that the given function is called on."""
+    spared: set[str] = set()
+
+    def spare(df: DataFrame) -> DataFrame:
+        spared.add(df._lexiquarry_path)
+        return df
+
+    with stashes() as made:
+        yield spare
+    gone = [p for p in made if p not in spared]
+    remove(spark, gone)
+    for outer in _watched:
+        outer[:] = [p for p in outer if p not in gone]
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes folders by the file system that they are in."""
+    """Deletes folders by the file system that they are in, and the catalogue's entries of bucketed tables."""
     for path in paths:
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder, and read again: computed once, columns still prunable."""
-    path = scratch(df.sparkSession, name)
+def _noted(df: DataFrame, path: str) -> DataFrame:
+    df._lexiquarry_path = path
+    return df
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    path = scratch(spark, name)
     for made in _watched:
         made.append(path)
+    return path
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet in the shared folder, and read again: computed once, its lineage cut, columns still prunable."""
+    path = _path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _noted(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """stash() for a small table of a loop."""
+    return stash(df, "cut")
+
+
+#: Bits of a row number that count rows within a task; the rest is the task's number.
+PLACE_BITS = 40
+_tables: dict[str, str] = {}
+
+
+def _buckets(df: DataFrame) -> int:
+    """Twice the tasks that a scan of the frame's size takes, or that a shuffle takes."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // each if size < 1 << 60 else 0)
+    return min(20_000, 2 * tasks)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The frame written in buckets of a column, from which joins by that column alone start without a shuffle of this side."""
+    spark, path = df.sparkSession, _path(df.sparkSession, name)
+    table = f"lexiquarry_{re.sub('[^a-z0-9]', '_', name)}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").bucketBy(_buckets(df), key).option("path", path).saveAsTable(table)
+    _tables[path] = table
+    return _noted(spark.table(table), path)
+
+
+def numbered(df: DataFrame, row: str, name: str) -> DataFrame:
+    """The frame bucketed by <row>_part. row: the task's number and, from 0 without gaps, the row's place in it, as PLACE_BITS says.
+
+    attached() brings columns to such a table without moving its rows.
+    """
+    return bucketed(df.withColumn(row + "_part", F.shiftright(row, PLACE_BITS).cast("int")), row + "_part", name)
+
+
+def attached(table: DataFrame, narrow: DataFrame, row: str, into: str) -> DataFrame:
+    """table (of numbered()) with a struct `into` of narrow's columns, null where narrow(row, ...), unique by row, has none.
+
+    Only row numbers and narrow's columns are shuffled: each part's become an array in the order of its rows, as long
+    as the task that wrote the part read rows, and the bucketed side stays where it is.
+    """
+    part, others = row + "_part", [c for c in narrow.columns if c != row]
+    found = narrow.select(row, F.struct(*others).alias(into))
+    every = table.select(part, row).join(found, row, "left")
+    arrays = every.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(row, into))).alias(into + "_rows"))
+    place = F.col(row).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    out = table.join(arrays.hint("shuffle_hash"), part)
+    return out.withColumn(into, F.get(into + "_rows", place)[into]).drop(into + "_rows", part)
 
 
 def crc_of_id(column: str = "doc_id") -> Column:

@@ -3,9 +3,13 @@
 A text is the set of its five-word shingles; equal sets are one class member from the start. MinHash turns a set
 into a fixed number of tokens, of which similar sets share the same share. Chosen paths split all sets again and
 again: a node draws two token positions, and a set follows both to the child named by its token there. Small nodes
-are compared by brute force, nodes that hardly shrink (copies of one text) are linked as they are. A path that two
-sets at the threshold share survives a run with a known probability, from which the number of runs for the target
-recall follows. What the runs link is then checked exactly, all pairs within each linked group, in blocks.
+are compared by brute force; nodes that hardly shrink (copies of one text) and the deepest ones are linked as they
+are. A path that two sets at the threshold share survives a run with a known probability, from which the number of
+runs for the target recall follows. What the runs link is then checked exactly: all pairs within each linked group, in
+pairs of blocks, of which only counts and a spanning forest come out, so that a group of n near copies gives n rows.
+
+Texts are written once and stay where they are; only texts of linked groups move, to their blocks. Everything else
+that is shuffled is row numbers, hashes and MinHash tokens.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lookup_join, stash
+from .common import PLACE_BITS, attached, bucketed, cut, lookup_join, numbered, passing, stash
 from .components import connected_components
 
 SHINGLE = 5
@@ -40,8 +44,8 @@ DEPTH = 16
 #: Equal tokens of two sets (their low bytes, of 128) from which the exact check follows; at the threshold 102 are
 #: expected and fewer than this come once in 10^8 pairs.
 SKETCH = 76
-#: Sets in a block of the exact check.
-BLOCK = 4096
+#: Sets in a block of the exact check: about eight times the square root of the group's size, within these bounds.
+BLOCKS = (128, 4096)
 _MASK = (1 << 64) - 1
 
 
@@ -110,7 +114,7 @@ def with_sets(docs: DataFrame, prefix: str = "nj_") -> DataFrame:
     """docs(text, ...) with a row number, the set's key (null without words), its size, tokens and the tokens' low bytes. Whole texts are read."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, at = Shingles(), TaskContext.get().partitionId() << 40
+        shingles, at = Shingles(), TaskContext.get().partitionId() << PLACE_BITS
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
@@ -200,24 +204,29 @@ def _similar_in_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def candidates(sets: DataFrame, runs: int) -> DataFrame:
-    """Edges (a, b) over sets(id, size, tokens, low): within each linked group, whatever links at the threshold is connected, with the runs' recall."""
+    """Edges (a, b) over sets(id, size, tokens, low): within each linked group, whatever links at the threshold is connected, with the runs' recall.
+
+    sets should be bucketed by id, for it meets the nodes' rows by id in every round.
+    """
+    spark = sets.sparkSession
     total = sets.count()
     roots = F.array(*(F.xxhash64(F.lit("run"), F.lit(r)) for r in range(runs)))
     at = sets.select("id", "size", "tokens", F.explode(roots).alias("node"), F.lit(total).alias("parent_n"))
-    found: DataFrame | None = None
+    found, nodes = None, None
     for depth in range(1, DEPTH + 1):
-        rows = at.select("id", "size", F.explode(children(F.col("node"), F.col("tokens"))).alias("node"), "parent_n")
-        counts = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1"))
-        here = lookup_join(rows, counts.withColumn("node_n", F.col("n")), "node", "n").filter("node_n IS NOT NULL")
-        here = cut(here.withColumn("kind", F.when(F.col("node_n") <= SMALL, 0).when((depth == DEPTH) | ((depth > 1) & (F.col("node_n") >= DENSE * F.col("parent_n"))), 1).otherwise(2)))
-        small = here.filter("kind = 0").select("node", "id", "size").join(sets.select("id", "low"), "id").select("node", "id", "size", "low")
-        part = small.repartition("node").sortWithinPartitions("node").mapInArrow(_similar_in_nodes, "a long, b long")
-        part = cut(part.unionByName(here.filter("kind = 1 AND id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))).distinct())
-        found = part if found is None else found.unionByName(part)
-        deeper = here.filter("kind = 2")
-        if depth == DEPTH or deeper.isEmpty():
+        with passing(spark) as spare:
+            rows = at.select("id", "size", F.explode(children(F.col("node"), F.col("tokens"))).alias("node"), "parent_n")
+            counts = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1"))
+            here = lookup_join(rows, counts.withColumn("node_n", F.col("n")), "node", "n").filter("node_n IS NOT NULL")
+            here = cut(here.withColumn("kind", F.when(F.col("node_n") <= SMALL, 0).when((depth == DEPTH) | ((depth > 1) & (F.col("node_n") >= DENSE * F.col("parent_n"))), 1).otherwise(2)))
+            small = sets.select("id", "low").join(here.filter("kind = 0").select("node", "id", "size"), "id").select("node", "id", "size", "low")
+            part = small.repartition("node").sortWithinPartitions("node").mapInArrow(_similar_in_nodes, "a long, b long")
+            part = part.unionByName(here.filter("kind = 1 AND id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")))
+            found = spare(cut((part if found is None else part.unionByName(found)).distinct()))
+            nodes = spare(cut(here.filter("kind = 2").select("id", "node", F.col("node_n").alias("parent_n"))))
+        if nodes.isEmpty():
             break
-        at = cut(deeper.select("id", "node", F.col("node_n").alias("parent_n"))).join(sets.select("id", "size", "tokens"), "id")
+        at = sets.select("id", "size", "tokens").join(nodes, "id")
     return found
 
 
@@ -288,19 +297,25 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([group.column(0).combine_chunks(), pa.array(ids), pa.array(links), pa.array(ids[root])], names=["comp", "id", "links", "root"])
 
 
-def exact(sets: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, links, root) for sets(id, copies) that the edges touch: rows linked at the threshold, and the smallest id of the class. texts: (id, text)."""
+def block_count(n: Column) -> Column:
+    """Blocks of a group of n sets."""
+    size = F.least(F.lit(BLOCKS[1]), F.greatest(F.lit(BLOCKS[0]), 8 * F.sqrt(n)))
+    return F.ceil(n / size).cast("int")
+
+
+def exact(sets: DataFrame, whole: DataFrame, edges: DataFrame, prefix: str = "nj_") -> DataFrame:
+    """(id, links, root) for sets(id, copies) that the edges touch: rows linked at the threshold, and the smallest id of the class. whole: joined()'s numbered table of texts."""
     comps = connected_components(edges)
-    blocks = comps.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK * 1.1).cast("int"))
+    blocks = comps.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", block_count(F.col("n")))
     members = lookup_join(comps, cut(blocks), "root", "n").select(F.col("vertex").alias("id"), F.col("root").alias("comp"), F.when(F.col("blocks") <= 1, 0).otherwise(F.pmod(F.xxhash64("vertex"), F.col("blocks"))).cast("int").alias("block"), "blocks")
     members = cut(members.join(sets.select("id", "copies"), "id"))
-    wanted = F.broadcast(members) if members.count() <= 100_000 else members
-    rows = texts.join(wanted, "id")
+    row, at = prefix + "row", prefix + "at"
+    there = attached(whole.select(row, row + "_part", "text"), members.withColumnRenamed("id", row), row, at).filter(F.col(at).isNotNull())
     # a block meets each of its group's blocks once; most groups have one block
     other = F.explode(F.when(F.col("blocks") <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("other", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "text")
+    rows = there.select(F.col(row).alias("id"), F.col(at + ".*"), "text").withColumn("other", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "text")
     met = cut(rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_exact, "comp long, id long, links long, root long"))
-    links = met.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count(F.lit(1)).alias("seen"))
+    links = met.groupBy("id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     several = connected_components(met.join(members.filter("blocks > 1").select("id"), "id").select(F.col("id").alias("a"), F.col("root").alias("b")))
     return links.join(several.withColumnRenamed("vertex", "id").withColumnRenamed("root", "across"), "id", "left").select("id", "links", F.coalesce("across", "root").alias("root"))
 
@@ -310,27 +325,31 @@ def joined(docs: DataFrame, recall: float = RECALL, prefix: str = "nj_") -> Data
 
     A class is a connected group under links of at least THRESHOLD; its id is its smallest doc_id (null if it has
     none). n_links: other rows linked to the row, rows with an equal set included; n_copies: those with an equal set.
-    Texts without words have no links and are classes of their own; null ids come after all others.
+    Texts without words have no links and are classes of their own; null ids come after all others; of rows that repeat
+    one is the first. An empty table stays empty. Columns of docs may have any name that doesn't start with the prefix.
     """
-    c = lambda name: F.col(prefix + name)
-    whole = stash(with_sets(docs, prefix), "sets")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), c("row").alias("row"))
-    full = whole.filter(c("key").isNotNull())
-    kinds = full.groupBy(c("key").alias("key")).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"))
-    kinds = cut(kinds).withColumn("id", F.col("least.row"))
-    rows = full.select(c("row").alias("id"), c("size").alias("size"), c("tokens").alias("tokens"), c("low").alias("low"))
-    sets = stash(rows.join(kinds.select("id", "copies"), "id"), "kinds")
-    edges = cut(candidates(sets, runs_needed(recall=recall)))
-    links = cut(exact(sets.select("id", "copies"), full.select(c("row").alias("id"), "text"), edges))
-    by = kinds.join(links, "id", "left").select("key", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
-    by = cut(by)
-    several = by.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("n"))
-    result = lookup_join(by, cut(several), "root", "n").select(F.col("key").alias(prefix + "key"), "copies", F.col("copies").alias("n"), (F.col("links") + F.col("copies") - 1).alias("links"), "head")
-    out = lookup_join(full.drop(prefix + "tokens", prefix + "low"), cut(result), prefix + "key", "n")
-    out = out.select(*docs.columns, F.col("head.doc").alias(prefix + "class_id"), F.col("links").alias(prefix + "n_links"), (F.col("copies") - 1).alias(prefix + "n_copies"), (F.col("head.row") == c("row")).alias(prefix + "first"))
-    zero = F.lit(0).cast("long")
-    bare = whole.filter(c("key").isNull()).select(*docs.columns, F.col("doc_id").alias(prefix + "class_id"), zero.alias(prefix + "n_links"), zero.alias(prefix + "n_copies"), F.lit(True).alias(prefix + "first"))
-    return out.unionByName(bare)
+    spark, c = docs.sparkSession, lambda name: F.col(prefix + name)
+    whole = numbered(with_sets(docs, prefix), prefix + "row", "sets")
+    with passing(spark) as spare:
+        order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), c("row").alias("row"))
+        full = whole.filter(c("key").isNotNull())
+        kinds = cut(full.groupBy(c("key").alias("key")).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"))).withColumn("id", F.col("least.row"))
+        firsts = attached(whole.select(*(prefix + n for n in ("row", "row_part", "size", "tokens", "low"))), kinds.select(F.col("id").alias(prefix + "row"), "copies"), prefix + "row", prefix + "at")
+        firsts = firsts.filter(c("at").isNotNull()).select(c("row").alias("id"), c("size").alias("size"), c("tokens").alias("tokens"), c("low").alias("low"), c("at.copies").alias("copies"))
+        sets = bucketed(firsts.repartition("id"), "id", "kinds")
+        edges = candidates(sets, runs_needed(recall=recall))
+        links = cut(exact(sets.select("id", "copies"), whole, edges, prefix))
+        by = kinds.join(links, "id", "left").select("key", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
+        by = cut(by)
+        several = by.groupBy("root").agg(F.min("least").alias("head"), F.count(F.lit(1)).alias("n"))
+        of = lookup_join(by, cut(several), "root", "n").select(F.col("key").alias(prefix + "key"), "copies", F.col("copies").alias("n"), (F.col("links") + F.col("copies") - 1).alias("links"), "head")
+        rows = lookup_join(full.select(prefix + "row", prefix + "key"), cut(of), prefix + "key", "n").drop(prefix + "key")
+        rows = spare(stash(rows, "classes"))
+    out = attached(whole.select(*docs.columns, prefix + "row", prefix + "row_part"), rows, prefix + "row", prefix + "at")
+    alone, zero = c("at").isNull(), F.lit(0).cast("long")
+    return out.select(
+        *docs.columns, F.when(alone, F.col("doc_id")).otherwise(c("at.head.doc")).alias(prefix + "class_id"), F.coalesce(c("at.links"), zero).alias(prefix + "n_links"),
+        F.coalesce(c("at.copies") - 1, zero).alias(prefix + "n_copies"), (alone | (c("at.head.row") == c("row"))).alias(prefix + "first"))
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:

@@ -1,8 +1,10 @@
 """Best-fit packing of documents into sequences.
 
-Documents become token ids in one pass over the texts. Each partition then packs its own pieces best-fit, longest
-first. Bins that are nearly full are done; the others climb a tree as items of their fill, and each round merges
-the leftovers of several groups and packs them best-fit again, until one group is left or packing gains nothing.
+Documents become token ids in one pass over the texts; the ids are written once and stay where they are. Of the pieces
+only numbers and lengths move: they are dealt over groups of a set size by a hash, so that each sees all lengths
+however the table was split, and each group packs its own best-fit, longest first. Bins that are nearly full are
+done; the others climb a tree as items of their fill, and each round merges the leftovers of several groups and packs
+them best-fit again, until one group is left or packing gains nothing. The places then travel back to the ids.
 """
 
 from __future__ import annotations
@@ -19,21 +21,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, stash
+from .common import PLACE_BITS, attached, cut, numbered, passing, stash
 
 CAPACITY = 2048
 #: A bin with at most so many free tokens is done.
 SLACK = 8
 #: Groups whose leftovers meet in one group of the next round.
 FAN_IN = 8
+#: Pieces in a group of the first round, about.
+LEAF_ITEMS = 16_384
 #: Items in a group of the tree at most; a task holds two numbers for each.
 GROUP_ITEMS = 500_000
 #: Words kept with their ids, for each worker.
-CACHE = 400_000
+CACHE = 800_000
+#: Ids of the strings that the vocabulary's tokenizer takes as one token each wherever a text holds them. Fixed values.
+SPECIAL = {"<|endoftext|>": 50256}
 #: White space next to white space or to an end: the only places where cutting at single spaces could change ids.
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
+_RUNS = re.compile(r"\s\s|\A\s|\s\Z|\x00")
 
 
 def default_vocabulary() -> str:
@@ -52,44 +57,36 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Encoder:
-    """Ids of the byte-level BPE: the same as byte_bpe_50k.json's, whose vocabulary the ranks file holds (a test compares them).
+class Encoder(dict):
+    """Ids of the byte-level BPE as little-endian unsigned 32-bit numbers: the same as byte_bpe_50k.json's, whose
+    vocabulary the ranks file holds (a test compares them).
 
     The pattern that cuts texts before merging never joins across a single space or newline between other
-    characters, so each word is encoded once and its ids reused. Texts with other white space go as a whole.
-    Strings of special tokens are ordinary text.
+    characters, so each word is encoded once, with the space before it, and its ids reused. Texts with other white
+    space go as a whole. Strings of special tokens are those tokens.
     """
 
-    def __init__(self, path: str):
-        self.encode = _encoding(path).encode_ordinary
-        self.first: dict[str, list[int]] = {}
-        self.rest: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        if not text or _RUNS.search(text):
-            return self.encode(text)
-        if len(self.rest) > CACHE or len(self.first) > CACHE:
-            self.first, self.rest = {}, {}
-        first, rest, encode, ids = self.first, self.rest, self.encode, []
-        newline = None
-        for line in text.split("\n"):
-            if newline is None:
-                newline = rest.get("\n") or rest.setdefault("\n", encode("\n"))
-            else:
-                ids += newline
-            words = line.split(" ")
-            w = words[0]
-            got = first.get(w)
-            if got is None:
-                got = first[w] = encode(w)
-            ids += got
-            for w in words[1:]:
-                got = rest.get(w)
-                if got is None:
-                    got = rest[w] = encode(" " + w)
-                ids += got
+    def __init__(self, path: str, special: dict[str, int] = SPECIAL):
+        self.encode, self.special = _encoding(path).encode_ordinary, special
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        ids = self[word] = np.asarray(self.encode(word), "<u4").tobytes()
         return ids
 
+    def ordinary(self, text: str) -> bytes:
+        if _RUNS.search(text):
+            return np.asarray(self.encode(text), "<u4").tobytes()
+        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
+
+    def __call__(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.ordinary(text) if text else b""
+        parts = self.marks.split(text)
+        return b"".join(self.special[x].to_bytes(4, "little") if k % 2 else self.ordinary(x) for k, x in enumerate(parts) if x)
+
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; all but the first have the full capacity."""
@@ -105,17 +102,16 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     path = vocabulary or default_vocabulary()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at = Encoder(path), TaskContext.get().partitionId() << 40
+        encode, at, end = Encoder(path), TaskContext.get().partitionId() << PLACE_BITS, bytes(4)
         for batch in batches:
             # a few long texts at a time, so that the ids of one batch stay small
             for lo in range(0, batch.num_rows, 512):
                 out: list[list] = [[], [], [], [], [], []]
                 part = batch.slice(lo, 512)
-                for doc, text in zip(part.column(0), part.column(1)):
-                    ids = np.asarray([*encode(text.as_py() or ""), 0], "<u4")
-                    doc = doc.as_py()
-                    for k, (start, length) in enumerate(cuts(len(ids), capacity)):
-                        for column, value in zip(out, (at, doc, k, start, length, ids[start : start + length].tobytes())):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    ids = encode(text.as_py() or "") + end
+                    for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
+                        for column, value in zip(out, (at, doc, k, start, length, ids[4 * start : 4 * (start + length)])):
                             column.append(value)
                         at += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["item_id", "doc_id", "piece", "start", "length", "ids"])
@@ -149,65 +145,71 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return into, offset, np.asarray(fills, np.int64)
 
 
-def assign(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """items (with a column length, from 1 to capacity) with sequence_id and offset, gapless from 0; all other columns stay.
+def assign(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan_in: int = FAN_IN, leaf_items: int = LEAF_ITEMS, group_items: int = GROUP_ITEMS) -> DataFrame:
+    """item_id, sequence_id and offset, gapless from 0, for items(item_id, length from 1 to capacity) with unique ids.
 
-    items must be a written table, so that a partition read again is the same. Every bin that a round leaves
-    underfull goes on to the next; the last round's bins are sequences as they are, so no item is lost.
+    No other column of items is read, so none clashes. Every bin that a round leaves underfull goes on to the next; the
+    last round's bins are sequences as they are, so no item is lost. An empty table gives an empty one; the table given
+    back is in the shared folder.
     """
-    names = items.columns
-
-    def leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = list(frames)
-        if not got:
-            return
-        whole = pd.concat(got, ignore_index=True)
-        into, offset, fills = best_fit(whole["length"].to_numpy(np.int64), capacity)
-        yield whole.assign(bin=into + (TaskContext.get().partitionId() << 32), offset=offset, fill=fills[into])
-
-    schema = T.StructType([*items.schema.fields, *(T.StructField(c, T.LongType()) for c in ("bin", "offset", "fill"))])
-    placed = stash(items.mapInPandas(leaf, schema), "placed")
-    under = placed.filter((F.col("offset") == 0) & (F.col("fill") < capacity - slack)).select("bin", "fill")
-    level = cut(under.select("bin", F.col("bin").alias("top"), F.lit(0).cast("long").alias("base"), "fill"))
-    n = level.count()
-    groups = max(1, placed.rdd.getNumPartitions())
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bin", ignore_index=True)
-        into, offset, fills = best_fit(frame["fill"].to_numpy(np.int64), capacity)
-        tops = np.zeros(len(fills), np.int64)
-        tops[into[::-1]] = frame["bin"].to_numpy()[::-1]  # a merged bin takes the id of one of its members
-        return pd.DataFrame({"member": frame["bin"], "parent": tops[into], "shift": offset, "full": fills[into]})
-
-    moved = level
-    climbing = level.select("bin", "fill")
-    while n:
-        groups = max(math.ceil(groups / fan_in), math.ceil(n / group_items))
-        rounds = climbing.withColumn("group", F.pmod(F.hash("bin"), F.lit(groups)))
-        step = cut(rounds.groupBy("group").applyInPandas(lambda f: merge(f), "member long, parent long, shift long, full long"))
-        joined = moved.join(step, moved["top"] == step["member"], "left")
-        moved = cut(joined.select("bin", F.coalesce("parent", "top").alias("top"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base"), F.coalesce("full", "fill").alias("fill")))
-        climbing = step.filter((F.col("shift") == 0) & (F.col("full") < capacity - slack)).select(F.col("parent").alias("bin"), F.col("full").alias("fill"))
-        before, n = n, climbing.count()
-        if groups == 1 or (groups <= math.ceil(n / group_items) and n > 0.98 * before):
-            break
-    ends = moved.select("bin", "top", "base")
-    out = placed.join(ends, "bin", "left")
-    return out.select(*names, F.coalesce("top", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+    spark = items.sparkSession
+    with passing(spark) as spare:
+        n = items.count()
+        groups = max(1, math.ceil(n / leaf_items))
+
+        def leaf(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("item_id", ignore_index=True)
+            into, offset, fills = best_fit(frame["length"].to_numpy(np.int64), capacity)
+            return pd.DataFrame({"item_id": frame["item_id"], "bin": into + (int(key[0]) << 32), "offset": offset, "fill": fills[into]})
+
+        dealt = items.select("item_id", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("leaf"))
+        placed = stash(dealt.groupBy("leaf").applyInPandas(lambda k, f: leaf(k, f), "item_id long, bin long, offset long, fill long"), "placed")
+        under = placed.filter((F.col("offset") == 0) & (F.col("fill") < capacity - slack)).select("bin", "fill")
+        level = cut(under.select("bin", F.col("bin").alias("top"), F.lit(0).cast("long").alias("base"), "fill"))
+        n = level.count()
+
+        def merge(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("bin", ignore_index=True)
+            into, offset, fills = best_fit(frame["fill"].to_numpy(np.int64), capacity)
+            tops = np.zeros(len(fills), np.int64)
+            tops[into[::-1]] = frame["bin"].to_numpy()[::-1]  # a merged bin takes the id of one of its members
+            return pd.DataFrame({"member": frame["bin"], "parent": tops[into], "shift": offset, "full": fills[into]})
+
+        moved = level
+        climbing = level.select("bin", "fill")
+        while n and groups > 1:
+            groups = max(math.ceil(groups / fan_in), math.ceil(n / group_items))
+            rounds = climbing.withColumn("group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+            step = cut(rounds.groupBy("group").applyInPandas(lambda f: merge(f), "member long, parent long, shift long, full long"))
+            joined = moved.join(step, moved["top"] == step["member"], "left")
+            moved = cut(joined.select("bin", F.coalesce("parent", "top").alias("top"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base"), F.coalesce("full", "fill").alias("fill")))
+            climbing = step.filter((F.col("shift") == 0) & (F.col("full") < capacity - slack)).select(F.col("parent").alias("bin"), F.col("full").alias("fill"))
+            before, n = n, climbing.count()
+            if groups <= math.ceil(n / group_items) and n > 0.98 * before:
+                break
+        out = placed.join(moved.select("bin", "top", "base"), "bin", "left")
+        return spare(stash(out.select("item_id", F.coalesce("top", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")), "assigned"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """Packed pieces with their tokens: doc_id, piece, start, length, ids, sequence_id, offset."""
-    pieces = stash(tokenized(docs, capacity, vocabulary), "pieces")
-    placed = assign(pieces.drop("ids"), capacity)
-    return placed.join(pieces.select("item_id", "ids"), "item_id").drop("item_id")
+    """Packed pieces with their tokens: doc_id, piece, start, length, ids, sequence_id, offset.
+
+    Null and empty texts are one token, the end; null ids and rows that repeat are documents of their own; an empty table
+    gives no pieces; a text of any length is cut into pieces. Columns of docs but doc_id and text aren't read.
+    """
+    return _placed(numbered(tokenized(docs, capacity, vocabulary), "item_id", "pieces"), capacity)
+
+
+def _placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces, a table of numbered(), with sequence_id and offset in place of item_id."""
+    out = attached(pieces, assign(pieces.select("item_id", "length"), capacity), "item_id", "at")
+    return out.select("*", "at.sequence_id", "at.offset").drop("item_id", "at")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every piece's place, with a checksum of its ids in their stead."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    pieces = stash(tokenized(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return assign(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return _placed(numbered(tokenized(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "item_id", "pieces"))
 
 
 QUERIES = {"op1_packing": op1_packing}

@@ -75,7 +75,7 @@ def test_jaccard_blocks(spark, monkeypatch):
         texts.append(" ".join(c))
     frame = spark.createDataFrame([(i, t, "en", "s", i) for i, t in enumerate(texts)], DOCS)
     links, classes = brute_links(texts)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCKS", (20, 20))
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
     got = jaccard_join.joined(frame).collect()
     assert {r["doc_id"]: r["nj_n_links"] for r in got} == {i: links[i] for i in range(90)}
@@ -89,6 +89,10 @@ def test_jaccard_hard_rows(spark):
     assert sorted((str(r["doc_id"]), str(r["nj_class_id"]), r["nj_n_links"], r["nj_n_copies"]) for r in got) == sorted([("1", "1", 3, 3)] * 3 + [("None", "1", 3, 3), ("None", "None", 0, 0), ("2", "2", 0, 0)])
     assert jaccard_join.keep(frame).count() == 3
     assert jaccard_join.keep(frame.limit(0)).count() == 0
+    clash = frame.selectExpr("*", "1 AS copies", "2 AS links", "3 AS head", "4 AS id", "5 AS root", "6 AS key", "7 AS row", "8 AS at", "9 AS n")
+    more = jaccard_join.joined(clash)
+    assert [c for c in more.columns if not c.startswith("nj_")] == clash.columns
+    assert sorted(map(str, more.select("doc_id", "nj_class_id", "nj_n_links", "nj_n_copies").collect())) == sorted(map(str, jaccard_join.joined(frame).select("doc_id", "nj_class_id", "nj_n_links", "nj_n_copies").collect()))
 
 
 def test_runs():

@@ -16,18 +16,17 @@ SCHEMA = "doc_id long, text string, extra string, ids string"
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_equals_tokenizers(spark, reference):
     encode = packing.Encoder(packing.default_vocabulary())
     rng = random.Random(1)
-    parts = ["word", "it's", " ", "  ", "\n", "\t", " ", "é", "日本", "!!", "12", "'ll", "<|endoftext|>", "x\ny", " 's", "\r\n", "\x85", "\x1c", "🙂", "ß."]
-    texts = ["", " ", "a", "a b", "a\nb c", " a", "a ", "I'm sure they'll\ncome 100%"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    parts = ["word", "it's", " ", "  ", "\n", "\t", " ", "é", "日本", "!!", "12", "'ll", "<|endoftext|>", "\x00", "x\ny", " 's", "\r\n", "\x85", "\x1c", "🙂", "ß."]
+    texts = ["", " ", "a", "a b", "a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>x", "<|endoftext", "a\x00b \x00c", "a\nb c", " a", "a ", "I'm sure they'll\ncome 100%"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
     texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     for t in texts:
-        assert encode(t) == reference(t), repr(t)
+        assert np.frombuffer(encode(t), "<u4").tolist() == reference(t), repr(t)
 
 
 def check(rows, want, capacity=2048):
@@ -73,13 +72,32 @@ def test_hard_rows(spark, reference, tmp_path):
 
 
 def test_tree_meets_few_bins(spark):
-    """Leftovers of many partitions meet: sizes that fit only across partitions."""
+    """Sizes that fit only across partitions: the count doesn't follow from how the table is split."""
     rows = [(k, 1500 if k < 200 else 500) for k in range(400)]
-    items = packing.stash(spark.createDataFrame(rows, "item_id long, length long").repartitionByRange(16, "item_id"), "items")
-    out = packing.assign(items, fan_in=4).collect()
-    assert len(out) == 400 and len({r["sequence_id"] for r in out}) == 200
-    small = packing.assign(items, fan_in=4, group_items=50).collect()
-    assert len(small) == 400 and {(r["item_id"]) for r in small} == set(range(400))
+    for n in (4, 8, 16):
+        items = packing.stash(spark.createDataFrame(rows, "item_id long, length long").repartitionByRange(n, "item_id"), "items")
+        out = packing.assign(items, fan_in=4).collect()
+        assert len(out) == 400 and len({r["sequence_id"] for r in out}) == 200
+
+
+def test_many_leaves_and_groups(spark):
+    """Leaves and groups of the tree far smaller than the table: every item once, gapless, and nearly as few sequences."""
+    rng = random.Random(3)
+    rows = [(k << 3, rng.randrange(1, 2049)) for k in range(6000)]
+    length, least = dict(rows), sum(n for _, n in rows) / 2048
+    items = packing.stash(spark.createDataFrame(rows, "item_id long, length long"), "items")
+    for leaf, group in ((100, 500_000), (100, 50)):
+        by = defaultdict(list)
+        for r in packing.assign(items, fan_in=4, leaf_items=leaf, group_items=group).collect():
+            by[r["sequence_id"]].append((r["offset"], r["item_id"]))
+        assert sorted(i for x in by.values() for _, i in x) == sorted(length)
+        for parts in by.values():
+            at = 0
+            for offset, i in sorted(parts):
+                assert offset == at
+                at += length[i]
+            assert at <= 2048
+        assert len(by) <= 1.1 * least  # bins of so small leaves close early
 
 
 def test_best_fit_is_best():
