@@ -3,15 +3,15 @@
 Each rule has a fixed list of cutoffs from lenient to strict. In each stratum (language) the labelled good documents
 are a holdout. All rules' cutoffs form one fixed sequence that tightens a rule at a time, in turn; a step stands while
 the exact binomial test still rejects "more than the allowed share of good documents goes by any rule so far". The
-first failure ends a stratum's test, which needs no correction; over the strata that have good documents the error is
-split evenly (Bonferroni).
+first failure ends a stratum's test, which needs no correction; over the strata the error is split by their shares of
+the good documents (weighted Bonferroni; the shares are known before any document is rejected).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, lookup_join, stash
@@ -59,7 +59,11 @@ def repeat_words(words: Column) -> Column:
 
 
 def with_features(docs: DataFrame, prefix: str = "q_") -> DataFrame:
-    """docs(text, ...) with counts of the whole texts, base_failed, and a value for each rule; null texts count as empty."""
+    """docs(text, ...) with counts of the whole texts, base_failed, and a value for each rule; null texts count as empty.
+
+    Each row is counted for itself, repeats and texts of any length too; an empty table stays empty; other columns may have
+    any name without the prefix.
+    """
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     both = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).cast("long").alias("r")))
@@ -107,8 +111,8 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     rows = rows.withColumn("goes", F.when(F.col("good"), goes))
     above = F.array(*(F.count_if(F.col("goes") <= k) for k in range(len(steps))))
     by = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("n_good"), above.alias("above"))
-    strata = F.count_if(F.col("n_good") > 0).over(Window.partitionBy())
-    by = by.withColumn("delta", delta / F.greatest(strata, F.lit(1))).withColumn("k", most_rejected(F.col("n_good"), alpha, F.col("delta")))
+    every = by.agg(F.greatest(F.sum("n_good"), F.lit(1)).alias("all_good"))  # one row
+    by = by.crossJoin(F.broadcast(every)).withColumn("delta", delta * F.col("n_good") / F.col("all_good")).withColumn("k", most_rejected(F.col("n_good"), alpha, F.col("delta")))
     by = by.withColumn("stands", F.size(F.filter("above", lambda x: x <= F.col("k"))))  # counts only grow along the sequence
     for rule, cs in RULES.items():
         own = F.array(*(F.lit(k) for k, (_, name) in enumerate(steps) if name == rule))
@@ -117,7 +121,11 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 
 def judged(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, prefix: str = "q_") -> DataFrame:
-    """features (a written table of with_features) with <prefix>kept: base rule passed and no value above its cutoff."""
+    """features (a written table of with_features) with <prefix>kept: base rule passed and no value above its cutoff.
+
+    A null lang is a stratum of its own. Where too few good documents are known for any cutoff, or none are, only the base
+    rule rejects. Rows that repeat a doc_id are judged each; values equal to a cutoff stay.
+    """
     by = cut(cutoffs(features, labels, alpha, delta, prefix)).withColumnRenamed("n", prefix + "n")
     key = prefix + "stratum"
     by = by.withColumnRenamed("stratum", key).drop("n_good").withColumnsRenamed({"cut_" + r: f"{prefix}cut_{r}" for r in RULES})
@@ -144,12 +152,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    share, values = ALPHA / len(RULES), {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words", "upper": "n_upper / word_chars", "bangs": "n_bangs / n_words"}
+    values = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "repeats": "n_repeat_words / n_words", "upper": "n_upper / word_chars", "bangs": "n_bangs / n_words"}
     under = {"symbols": "n_words", "dup_lines": "n_lines", "repeats": "n_words", "upper": "word_chars", "bangs": "n_words"}
     v = ", ".join(f"CASE WHEN {under[r]} > 0 THEN {values[r]} ELSE 0 END AS v_{r}" for r in RULES)
-    above = ", ".join(f"[{', '.join(f'count(*) FILTER (good AND v_{r} > {c})' for c in cs)}] AS a_{r}" for r, cs in RULES.items())
-    cuts = ", ".join(f"[{', '.join(map(str, cs))}][len([x FOR x IN a_{r} IF x <= k])] AS c_{r}" for r, cs in RULES.items())
-    bad = " OR ".join(f"coalesce(v_{r} > c_{r}, false)" for r in RULES)
+    steps = " UNION ALL ".join(f"SELECT {t} AS t, {k} AS rule, {c} AS cut" for k, cs in enumerate(RULES.values()) for t, c in enumerate(cs))
+    of = "[" + ", ".join(f"v_{r}" for r in RULES) + "]"
+    bad = " OR ".join(f"coalesce(v_{r} > cuts[{k + 1}], false)" for k, r in enumerate(RULES))
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM t),
@@ -162,12 +170,16 @@ c AS (SELECT w.row, doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(le
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('=' || lang, 'null') AS stratum, {v} FROM c),
 q AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 m AS (SELECT b.*, q.doc_id IS NOT NULL AND NOT base_failed AS good FROM b LEFT JOIN q USING (doc_id)),
-a AS (SELECT stratum, count(*) FILTER (good) AS n, {above} FROM m GROUP BY stratum),
-e AS (SELECT stratum, n, i, n * ln(1 - {share}) + coalesce(sum(CASE WHEN i > 0 THEN ln((n - i + 1) / i) + ln({share} / (1 - {share})) END) OVER (PARTITION BY stratum ORDER BY i), 0) AS term
-      FROM (SELECT stratum, n, unnest(range(0, CAST(floor(n * {share}) AS BIGINT) + 1)) AS i FROM a)),
-f AS (SELECT stratum, i, sum(exp(term)) OVER (PARTITION BY stratum ORDER BY i) AS cdf FROM e),
-k AS (SELECT stratum, max(i) AS k FROM f WHERE cdf <= {DELTA} / ((SELECT count(*) FROM a) * {len(RULES)}) GROUP BY stratum),
-z AS (SELECT stratum, {cuts} FROM (SELECT a.*, coalesce(k.k, -1) AS k FROM a LEFT JOIN k USING (stratum)))
+a AS (SELECT stratum, count(*) FILTER (good) AS n FROM m GROUP BY stratum),
+e AS (SELECT stratum, n, i, n * ln(1 - {ALPHA}) + coalesce(sum(CASE WHEN i > 0 THEN ln((n - i + 1) / i) + ln({ALPHA} / (1 - {ALPHA})) END) OVER (PARTITION BY stratum ORDER BY i), 0) AS term
+      FROM (SELECT stratum, n, unnest(range(0, CAST(floor(n * {ALPHA}) AS BIGINT) + 1)) AS i FROM a)),
+f AS (SELECT stratum, n, i, sum(exp(term)) OVER (PARTITION BY stratum ORDER BY i) AS cdf FROM e),
+k AS (SELECT stratum, max(i) AS k FROM f WHERE cdf <= {DELTA} * n / (SELECT greatest(sum(n), 1) FROM a) GROUP BY stratum),
+st AS (SELECT *, row_number() OVER (ORDER BY t, rule) - 1 AS step FROM ({steps})),
+go AS (SELECT stratum, min(step) AS step FROM (SELECT row, stratum, {of} AS v FROM m WHERE good) JOIN st ON v[rule + 1] > cut GROUP BY row, stratum),
+up AS (SELECT k.stratum, st.step, st.t, st.rule, st.cut, k.k, (SELECT count(*) FROM go WHERE go.stratum = k.stratum AND go.step <= st.step) AS gone FROM k CROSS JOIN st),
+ok AS (SELECT stratum, rule, max_by(cut, step) AS cut FROM up WHERE gone <= k GROUP BY stratum, rule),
+z AS (SELECT a.stratum, [{', '.join(f'max(cut) FILTER (rule = {k})' for k in range(len(RULES)))}] AS cuts FROM a LEFT JOIN ok USING (stratum) GROUP BY a.stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {bad}) AS kept FROM m JOIN z USING (stratum)
 """
 

@@ -130,12 +130,16 @@ def test_binomial_bound(spark):
 
 
 def test_quality_cutoffs_hold(spark):
+    """Junk that the base rule lets pass goes by the cutoffs; junk that it doesn't goes without any."""
     good = "word " * 3 + " ".join(f"w{i}" for i in range(60))
-    rows = [(i, good, "en" if i % 2 else None, "s", 0, 0) for i in range(6000)] + [(10_000 + i, good + " ***" * 90, "en", "s", 0, 0) for i in range(50)]
+    marks = " " + " ".join(f"#{i}!!" for i in range(60))
+    rows = [(i, good, "en" if i % 2 else None, "s", 0, 0) for i in range(6000)] + [(10_000 + i, good + marks, "en", "s", 0, 0) for i in range(50)] + [(20_000 + i, good + " ***" * 90, "en", "s", 0, 0) for i in range(50)]
     labels = spark.createDataFrame([(i, 1) for i in range(6000)] + [(10_000 + i, 0) for i in range(50)] + [(None, 1), (1, 1), (77, None), (-5, 1)], "doc_id long, quality int")
     frame = spark.createDataFrame(rows, DOCS)
     kept = {r["doc_id"] for r in quality_rules.keep(frame, labels).collect()}
     assert kept == set(range(6000))
+    failed = {r["doc_id"] for r in quality_rules.with_features(frame).filter("q_base_failed").collect()}
+    assert failed == {20_000 + i for i in range(50)}  # so the cutoffs reject the others
     assert quality_rules.keep(frame.limit(0), labels).count() == 0 and quality_rules.keep(frame, labels.limit(0)).count() == 6050
 
 
