@@ -15,15 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, cut
 
-#: Labelled rows for the fit, at most so many of each class; the first by a hash of doc_id.
-SAMPLE_ROWS = 3000
-#: Longer texts than this many bytes stay out of the sample (they are scored and calibrate like all others).
-SAMPLE_BYTES = 16_384
+#: Labelled rows for the fit: of each class the first by a hash of doc_id, until there are so many, or so many bytes of
+#: text in all. Texts of any length count alike; all others calibrate and are scored.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
 #: Parts of the labelled rows, by a hash of the words; each is calibrated on by a model fitted without it.
 CALIBRATION = 4
 #: Logits are counted in steps of one in so many, up to a size.
@@ -226,11 +225,15 @@ def known(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & trainable()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def sample(docs: DataFrame, by: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets and labels of at most `rows` texts of each class of by(doc_id, toxic)."""
-    picked = [by.filter(F.col("toxic") == k).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows ids
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+def sample(docs: DataFrame, by: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets and labels of the first texts of each class of by(doc_id, toxic), by a hash of doc_id, up to `rows` ids and `size` bytes (one text at least)."""
+    order = lambda: (F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
+    picked = [by.filter(F.col("toxic") == k).orderBy(*order()).limit(rows) for k in (0, 1)]
+    chosen = cut(picked[0].unionByName(picked[1]))  # at most 2 * rows ids
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("toxic").orderBy(*order()))
+    chosen = cut(sizes.withColumn("before", so_far - F.col("n")).filter((F.col("before") == 0) | (F.col("before") + F.col("n") <= size)).select("doc_id", "toxic"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -300,7 +303,9 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, steps:
 def scored(docs: DataFrame, model: Model, thresholds: dict[str | None, float], prefix: str = "tox_") -> DataFrame:
     """docs(lang, text, ...) with <prefix>score and <prefix>rejected: score at or above the language's threshold.
 
-    Null and empty texts are scored as texts without words. The model goes to the executors once (8 MB, its size is set by BUCKETS and DIM).
+    Null and empty texts are scored as texts without words; a null lang has a threshold of its own where it has labels
+    enough; rows that repeat are scored each, and alike; an empty table stays empty. Other columns stay as they are, so
+    they may have any name without the prefix. The model goes to the executors once (8 MB, its size is set by BUCKETS and DIM).
     """
     sent = docs.sparkSession.sparkContext.broadcast((model, thresholds))
 
