@@ -336,7 +336,7 @@ def joined(docs: DataFrame, recall: float = RECALL, prefix: str = "nj_") -> Data
         kinds = cut(full.groupBy(c("key").alias("key")).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"))).withColumn("id", F.col("least.row"))
         firsts = attached(whole.select(*(prefix + n for n in ("row", "row_part", "size", "tokens", "low"))), kinds.select(F.col("id").alias(prefix + "row"), "copies"), prefix + "row", prefix + "at")
         firsts = firsts.filter(c("at").isNotNull()).select(c("row").alias("id"), c("size").alias("size"), c("tokens").alias("tokens"), c("low").alias("low"), c("at.copies").alias("copies"))
-        sets = bucketed(firsts.repartition("id"), "id", "kinds")
+        sets = bucketed(firsts.repartition("id"), "id", "kinds", docs)
         edges = candidates(sets, runs_needed(recall=recall))
         links = cut(exact(sets.select("id", "copies"), whole, edges, prefix))
         by = kinds.join(links, "id", "left").select("key", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))

@@ -77,7 +77,9 @@ class Encoder(dict):
         return ids
 
     def ordinary(self, text: str) -> bytes:
-        if _RUNS.search(text):
+        # printable text has no white space but spaces, which is quick to know of most texts
+        plain = text.replace("\n", "").isprintable() and not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and text[0] not in " \n" and text[-1] not in " \n"
+        if not plain and _RUNS.search(text):
             return np.asarray(self.encode(text), "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
 
