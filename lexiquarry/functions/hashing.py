@@ -1,6 +1,6 @@
 """32-bit string hashes as folds, digests, shards and bloom probes, all inside the JVM.
 
-The hashes run over UTF-16 units; a fold over characters agrees for all text of the basic plane.
+The hashes run over UTF-16 units, so a character beyond the basic plane counts twice.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ SHARDS = 64
 _LOW = (1 << 32) - 1
 
 
-def _characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+def _units(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("bigint"))
 
 
 def fnv1a(text: Column) -> Column:
-    return F.aggregate(_characters(text), F.lit(FNV_OFFSET).cast("bigint"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(_LOW)))
+    return F.aggregate(_units(text), F.lit(FNV_OFFSET).cast("bigint"), lambda h, u: (h.bitwiseXOR(u) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(_LOW)))
 
 
 def times33(text: Column) -> Column:
-    return F.aggregate(_characters(text), F.lit(SEED33).cast("bigint"), lambda h, c: (h * FACTOR33).bitwiseAND(F.lit(_LOW)).bitwiseXOR(F.ascii(c).cast("bigint")))
+    return F.aggregate(_units(text), F.lit(SEED33).cast("bigint"), lambda h, u: (h * FACTOR33).bitwiseAND(F.lit(_LOW)).bitwiseXOR(u))
 
 
 def base36(number: Column) -> Column:

@@ -18,7 +18,7 @@ STOP_WORDS = (
     "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "was", "were", "what", "when", "where",
     "which", "who", "why", "will", "with", "would", "you", "your",
 )
-TITLE_FILLERS = ("the", "first", "second", "third", "book", "epistle", "gospel", "according", "to", "of", "moses", "called", "apostle", "general", "saint", "st")
+TITLE_FILLERS = r"\b(the|first|second|third|book|epistle|gospel|according|to|of|moses|called|apostle|general|saint|st)\b"
 HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 BOOK_ALIASES = {
     "genesis": ["gen"], "exodus": ["exod", "exo"], "leviticus": ["lev"], "numbers": ["num"], "deuteronomy": ["deut", "deu"],
@@ -81,7 +81,7 @@ def name_norm(name: Column) -> Column:
 
 def identity_of_folded(folded: Column) -> Column:
     """What editions of one work share: an already lower-cased, decomposed title without marks and filler words. Non-Latin titles become empty."""
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"\b(" + "|".join(TITLE_FILLERS) + r")\b", " "), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, TITLE_FILLERS, " "), "[^a-z0-9]+", " "))
 
 
 def reference_norm(reference: Column) -> Column:
@@ -117,9 +117,10 @@ def friendly_title(title: Column, edition_id: Column | None = None) -> Column:
 
 
 def title_label(value: Column) -> Column:
-    """Dashes and underscores become spaces, words start in upper case, and the rest stays as it is."""
-    words = F.split(F.translate(F.coalesce(value, F.lit("")), "-_", "  "), " ")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+    """Dashes and underscores become spaces, a to z after anything but an ASCII letter or digit become upper case, and the rest stays as it is."""
+    parts = F.split(F.translate(F.coalesce(value, F.lit("")), "-_", "  "), "(?<![A-Za-z0-9])(?=[a-z])")
+    raised = lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))).otherwise(w)
+    return F.array_join(F.transform(parts, raised), "")
 
 
 def html_escape(text: Column) -> Column:
@@ -191,5 +192,14 @@ def data_url_bytes(url: Column) -> Column:
     return F.when(kind != "", F.struct(kind.alias("kind"), F.unbase64(F.regexp_extract(url, pattern, 2)).alias("bytes")))
 
 
+def first_bytes(text: Column, most: Column) -> Column:
+    """At most so many UTF-8 bytes of a text; a character that would be cut in two is left out."""
+    data = F.encode(text, "UTF-8")
+    high = lambda at: F.conv(F.hex(F.substr(data, at, F.lit(1))), 16, 10).cast("int")
+    goes_on = high(most + 1).between(128, 191)
+    back = F.when(~F.coalesce(goes_on, F.lit(False)), 0).when(high(most) >= 192, 1).when(high(most - 1) >= 192, 2).otherwise(3)
+    return F.when(most <= 0, F.lit("")).when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substr(data, F.lit(1), most - back), "UTF-8"))
+
+
 def is_blank(text: Column) -> Column:
     return F.length(trimmed(F.coalesce(text, F.lit("")))) == 0

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import gzip
 import html
+import io
 import json
 import re
 import unicodedata
+import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MARKS = re.compile("[̀-ͯ]")
-_SIDE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())]))
-DIFF = T.StructType([T.StructField("left", _SIDE), T.StructField("right", _SIDE), T.StructField("truncated", T.BooleanType())])
+#: Tokens of a side that a difference is made of.
+MOST_TOKENS = 250
+_TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("kept", T.BooleanType())]))
+DIFF = T.StructType([T.StructField("left", _TOKENS), T.StructField("right", _TOKENS), T.StructField("cut", T.BooleanType())])
+MEMBERS = T.ArrayType(T.StructType([T.StructField("member", T.StringType()), T.StructField("content", T.BinaryType())]))
+ASSIGNED = T.StructType([T.StructField("json", T.StringType()), T.StructField("problem", T.StringType())])
 
 
 @F.pandas_udf(T.StringType())
@@ -27,43 +34,52 @@ def norm_word(word: str) -> str:
     return "".join(c for c in word.lower() if unicodedata.category(c)[0] in "LN")
 
 
-def diff_of(left: list[str], right: list[str], most: int = 250) -> dict:
-    """Changed and unchanged tokens of both sides by a longest common subsequence of normalised words.
+def kept_tokens(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of both sides are in their longest common subsequence of normalised words; tokens without letters and digits are in none.
 
-    Marks never match. Where neither side's next token matches, the right one goes first on a tie.
+    Of several such subsequences it is the one whose walk from the front passes over the right side's tokens first.
     """
-    cut = len(left) > most or len(right) > most
-    left, right = left[:most], right[:most]
-    a, b = [norm_word(w) for w in left], [norm_word(w) for w in right]
-    longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        row, below = longest[i], longest[i + 1]
-        for j in reversed(range(len(b))):
-            row[j] = below[j + 1] + 1 if a[i] and a[i] == b[j] else max(below[j], row[j + 1])
-    out: dict = {"left": [], "right": [], "truncated": cut}
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] and a[i] == b[j]:
-            out["left"].append({"text": left[i], "changed": False})
-            out["right"].append({"text": right[j], "changed": False})
-            i, j = i + 1, j + 1
-        elif j < len(b) and (i == len(a) or longest[i][j + 1] >= longest[i + 1][j]):
-            out["right"].append({"text": right[j], "changed": True})
-            j += 1
-        else:
-            out["left"].append({"text": left[i], "changed": True})
-            i += 1
-    return out
+    words: dict[str, int] = {"": -1}
+    a, b = (np.asarray([words.setdefault(norm_word(w), len(words)) for w in side], np.int64) for side in (left, right))
+    b = np.where(b < 0, -2, b)
+    # rest[i, j]: the length for what follows places i and j; a row is the running maximum, from the right, of what a match or the row below gives
+    rest = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        best = np.where(b == a[i], rest[i + 1, 1:] + 1, rest[i + 1, :-1])
+        rest[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    in_left, in_right = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    at = [0, 0]
+    while at[0] < len(a) and at[1] < len(b):
+        i, j = at
+        step = (1, 1) if a[i] == b[j] else (0, 1) if rest[i, j + 1] >= rest[i + 1, j] else (1, 0)
+        if step == (1, 1):
+            in_left[i] = in_right[j] = True
+        at = [i + step[0], j + step[1]]
+    return in_left, in_right
 
 
 @F.pandas_udf(DIFF)
 def word_diff(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """diff_of for arrays of tokens."""
-    return pd.DataFrame([diff_of(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(left, right)], columns=["left", "right", "truncated"])
+    """kept_tokens for arrays of tokens, of which the first MOST_TOKENS count; cut says that a side has more."""
+    rows = []
+    for sides in zip(left, right):
+        tokens = [list(x)[:MOST_TOKENS] if x is not None else [] for x in sides]
+        marks = kept_tokens(*tokens)
+        rows.append((*([{"token": t, "kept": bool(k)} for t, k in zip(*side)] for side in zip(tokens, marks)), any(x is not None and len(x) > MOST_TOKENS for x in sides)))
+    return pd.DataFrame(rows, columns=["left", "right", "cut"])
+
+
+_ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|.)", re.S)
+_ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": ""}
+
+
+def unescaped(text: str) -> str:
+    """A script string's content."""
+    return _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "ux" and len(m[1]) > 1 else _ESCAPED.get(m[1], m[1]), text)
 
 
 def assigned_value(page: str | None, name: str) -> str | None:
-    """The JSON text that a page's script assigns to window.<name>: a string's content, or a balanced object or array.
+    """The JSON text that a page's script assigns to window.<name>: a string, or a balanced object or array.
 
     Braces inside strings don't count and escapes are honoured. Null where nothing is assigned; a value without an end is an error.
     """
@@ -84,7 +100,7 @@ def assigned_value(page: str | None, name: str) -> str | None:
                 inside = ""
                 if quote:
                     text = page[at : k + 1]
-                    return json.loads(text) if quote == '"' else text[1:-1].encode().decode("unicode_escape")
+                    return json.dumps(unescaped(text[1:-1]), ensure_ascii=False)
         elif c in "\"'`":
             inside = c
         elif c in "{[":
@@ -99,9 +115,17 @@ def assigned_value(page: str | None, name: str) -> str | None:
     raise ValueError(f"the value assigned to {name} has no end")
 
 
-@F.pandas_udf(T.StringType())
-def window_assignment(pages: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([assigned_value(p, n) for p, n in zip(pages, names)])
+@F.pandas_udf(ASSIGNED)
+def window_assignment(pages: pd.Series, names: pd.Series) -> pd.DataFrame:
+    """assigned_value of each page, or what is wrong with it; no page fails the others."""
+    rows = []
+    for page, name in zip(pages, names):
+        try:
+            value = assigned_value(page, name)
+            rows.append((value, f"nothing is assigned to {name}" if value is None else None))
+        except ValueError as problem:
+            rows.append((None, str(problem)))
+    return pd.DataFrame(rows, columns=["json", "problem"])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -110,13 +134,26 @@ def gunzip(values: pd.Series) -> pd.Series:
     return values.map(lambda v: gzip.decompress(v) if v is not None and bytes(v[:2]) == b"\x1f\x8b" else v)
 
 
+@F.pandas_udf(T.BinaryType())
+def gzipped(values: pd.Series) -> pd.Series:
+    """Bytes packed with gzip, the same each time."""
+    return values.map(lambda v: None if v is None else gzip.compress(v, mtime=0))
+
+
 @F.pandas_udf(T.StringType())
 def plain_lines(values: pd.Series) -> pd.Series:
     """HTML entities decoded, a byte order mark dropped, line ends made \\n."""
     return values.map(lambda v: None if v is None else html.unescape(v).removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"))
 
 
-@F.pandas_udf(T.StringType())
-def first_bytes(values: pd.Series, most: pd.Series) -> pd.Series:
-    """At most so many UTF-8 bytes; a character cut in two is dropped."""
-    return pd.Series([None if v is None else v.encode()[:n].decode(errors="ignore") for v, n in zip(values, most)])
+@F.pandas_udf(MEMBERS)
+def unzipped(values: pd.Series) -> pd.Series:
+    """Files of zip archives, folders left out."""
+
+    def one(data):
+        if data is None:
+            return None
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return [{"member": i.filename, "content": z.read(i)} for i in z.infolist() if not i.is_dir()]
+
+    return values.map(one)

@@ -13,12 +13,18 @@ def with_identity(works: DataFrame, *names: str) -> DataFrame:
     return works.withColumn("identity", text.identity_of_folded(udfs.nfkd_fold(text.filled(*(F.col(n) for n in names)))))
 
 
-def edition_pairs(works: DataFrame, key: str = "key", state: str = "content_state") -> DataFrame:
-    """(key, other) of works with the same identity of which the other is readable. Works without an identity pair with none."""
+def edition_members(works: DataFrame, key: str = "key", state: str = "content_state") -> DataFrame:
+    """(identity, key, readable, n_readable) of works with an identity: all pairs of editions in a row for each work."""
+    some = works.filter("identity <> ''").select("identity", F.col(key).alias("key"), F.coalesce(F.col(state) == "local-readable", F.lit(False)).alias("readable"))
+    return some.join(some.groupBy("identity").agg(F.count_if("readable").alias("n_readable")), "identity")
+
+
+def edition_pairs(works: DataFrame, primary: str, key: str = "key", state: str = "content_state") -> DataFrame:
+    """(key, other) of one work and the readable works with its identity. A work without an identity pairs with none."""
     some = works.filter("identity <> ''")
-    a = some.select("identity", F.col(key).alias("key"))
+    a = some.filter(F.col(key) == primary).select("identity", F.col(key).alias("key"))
     b = some.filter(F.col(state) == "local-readable").select("identity", F.col(key).alias("other"))
-    return a.join(b, "identity").filter("key <> other")
+    return b.join(a, "identity").filter("key <> other").select("key", "other")
 
 
 def common_chapters(primary: DataFrame, secondary: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -56,5 +62,5 @@ def differs(left: str, right: str):
 
 
 def with_diff(rows: DataFrame, left: str = "primary_text", right: str = "secondary_text") -> DataFrame:
-    """rows with diff: tokens of both sides, changed or not; the longest-common-subsequence table is capped at 250 tokens a side."""
+    """rows with diff: tokens of both sides, kept or changed; the longest-common-subsequence table is capped at 250 tokens a side."""
     return rows.withColumn("diff", udfs.word_diff(text.diff_tokens(F.col(left)), text.diff_tokens(F.col(right))))

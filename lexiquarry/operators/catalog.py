@@ -19,19 +19,25 @@ def repacked(records: DataFrame, legacy: list[str], into: str = "legacy_referenc
     return records.withColumn(into, F.struct(*legacy)).drop(*legacy)
 
 
+def chosen_editions(editions: DataFrame, prefix: str, others: tuple[str, ...] = (), column: str = "id") -> DataFrame:
+    """Editions whose id starts with a prefix or is one of the others."""
+    return editions.filter(F.col(column).startswith(prefix) | F.col(column).isin(*others) if others else F.col(column).startswith(prefix))
+
+
 def source_url(*candidates: Column) -> Column:
     """The first candidate that says something."""
     return text.filled(*candidates)
 
 
 def dense_index(rows: DataFrame, order: list[str], name: str = "work_index") -> DataFrame:
-    """rows with a gapless number from 0. Rows are counted for each leading key, and numbered within it, so that no task holds them all."""
+    """rows with a gapless number from 0; a null key comes before all others. Rows are counted for each leading key, and numbered within it, so that no task holds them all."""
     lead = order[0]
-    counts = rows.groupBy(lead).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(lead, before.alias("_start"))
-    inner = F.row_number().over(Window.partitionBy(lead).orderBy(*order[1:])) - 1
-    return rows.withColumn("_inner", inner).join(starts, lead).withColumn(name, F.col("_start") + F.col("_inner")).drop("_start", "_inner")
+    counts = rows.groupBy(F.col(lead).alias("_lead")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_lead", before.alias("_start"))
+    inner = F.row_number().over(Window.partitionBy(lead).orderBy(*(order[1:] or [lead]))) - 1
+    numbered = rows.withColumn("_inner", inner).join(starts, F.col(lead).eqNullSafe(F.col("_lead")))
+    return numbered.withColumn(name, F.col("_start") + F.col("_inner")).drop("_lead", "_start", "_inner")
 
 
 def histogram(rows: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:

@@ -25,6 +25,14 @@ def matching_book(books: DataFrame, aliases: list[str]) -> DataFrame:
     return books.filter(hit).orderBy("pos").limit(1)
 
 
+def parallels_or_alias(crossrefs: DataFrame, books: DataFrame, book: str, aliases: list[str], chapter: str, verse: str) -> DataFrame:
+    """parallels() of the book, or, where it has none, of the first book that an alias names."""
+    own = parallels(crossrefs, book, chapter, verse)
+    named = crossrefs.join(matching_book(books, aliases).select(F.col("name").alias("book")), "book").withColumn("book", F.lit(book))
+    other = parallels(named, book, chapter, verse).join(own.limit(1).select(F.lit(1).alias("_hit")), F.lit(True), "left_anti")
+    return own.unionByName(other)
+
+
 def backlinks(references: DataFrame, targets: DataFrame) -> DataFrame:
     """references(reference, ...) joined to targets(target): equal to it, or going on with a dash or a comma after it.
 

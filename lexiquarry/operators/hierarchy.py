@@ -30,10 +30,8 @@ BIBLE_EDITIONS = ("kjv", "web", "asv", "dra", "brenton", "ylt", "gnv1599", "jps1
 TORAH_EDITIONS = ("jewish-scripture-torah", "torah-jps1917")
 ENOCHIC_EDITIONS = ("enoch-charles", "enoch-odeberg-1928", "pseudepigrapha-enochic-giants")
 PSEUDEPIGRAPHA_EDITIONS = ("jubilees-charles", "daniel-apocrypha-open-i")
-GNOSTIC_WORDS = (
-    "gospel of thomas", "gospel of mary", "gospel of philip", "gospel of judas", "apocryphon", "secret book", "apocalypse of adam", "apocalypse of james",
-    "hypostasis", "archons", "melchizedek", "origin of the world", "great seth", "three steles", "thunder", "tripartite tractate",
-)
+GNOSTIC_WORDS = "gospel of thomas|gospel of mary|gospel of philip|gospel of judas|apocryphon|secret book|apocalypse of adam|apocalypse of james|hypostasis|archons|melchizedek|origin of the world|great seth|three steles|thunder|tripartite tractate"
+GNOSTIC_EDITION, ETHIOPIAN_WORDS, HYMN_WORDS = "user-early-christian-gnostic-texts", "tewahedo|ethiop", "hymn|song|sacred poetry"
 ACQUISITION_TITLES = (r"(?i)\bSource Pack\b", "(?i)Online Critical Pseudepigrapha", "(?i)Recovered Local Editions", "(?i)Source-Readable Works", "(?i)Bibliographic and Fragmentary Witnesses")
 ACQUISITION_EDITION = "christian-apocrypha-open-i"
 EXTRA_EDITIONS = {"utah-lds": ("pgp1851",), "torah": ("torah-jps1917",), "mishnah": ("rabbinic-mishnah-kulp",), "tosefta": ("rabbinic-tosefta-sefaria",), "yerushalmi": ("rabbinic-yerushalmi-guggenheimer",), "bavli": ("rabbinic-bavli-davidson",)}
@@ -65,8 +63,8 @@ def described() -> Column:
 
 def families() -> dict[str, Column]:
     bible, words = _in("edition_id", BIBLE_EDITIONS), described()
-    dedicated = _starts("edition_id", "gnostic-") | _is("edition_id", "user-early-christian-gnostic-texts")
-    gnostic = dedicated | (_is("edition_id", "early-christian-sacred-i") & words.contains("pistis sophia")) | (_is("edition_id", ACQUISITION_EDITION) & reduce(or_, (words.contains(w) for w in GNOSTIC_WORDS)))
+    dedicated = _starts("edition_id", "gnostic-") | _is("edition_id", GNOSTIC_EDITION)
+    gnostic = dedicated | (_is("edition_id", "early-christian-sacred-i") & words.contains("pistis sophia")) | (_is("edition_id", ACQUISITION_EDITION) & words.rlike(GNOSTIC_WORDS))
     enochic_edition = _in("edition_id", ENOCHIC_EDITIONS)
     return {
         "bible": bible,
@@ -75,7 +73,7 @@ def families() -> dict[str, Column]:
         "early_christian": _starts("edition_id", "early-christian-"),
         "gnostic": gnostic,
         "hymns": _is("section", "Hymns & Songs"),
-        "ethiopian": words.rlike("tewahedo|ethiop"),
+        "ethiopian": words.rlike(ETHIOPIAN_WORDS),
         "enochic": enochic_edition | words.rlike(r"\benoch\b|book of giants"),
     }
 
@@ -103,7 +101,7 @@ def category_columns(works: DataFrame, groups: DataFrame) -> DataFrame:
         "pseudepigrapha": f["pseudepigrapha"],
         "early-christian": f["early_christian"],
         "gnostic": f["gnostic"],
-        "hymns": f["hymns"] | described().rlike("hymn|song|sacred poetry"),
+        "hymns": f["hymns"] | described().rlike(HYMN_WORDS),
         "ethiopian": f["ethiopian"],
         "restoration": F.col("restoration_group").isNotNull(),
         "jewish": F.col("jewish_group").isNotNull(),
@@ -185,6 +183,44 @@ def default_place(works: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select(*works.columns, category.otherwise("hebrew-bible").alias("category"), group.otherwise("").alias("group"))
 
 
+def route_context(asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, category, group) that a link to a work leads to: asked has works' columns and asked_category, asked_group, imported.
+
+    An asked category that is known and holds the work stays, and with it an asked group that holds the work; else the
+    work's default place. A missing group is that of the work's edition, if it holds the work. Imports have neither.
+    """
+    f, category, group = families(), F.col("category"), F.col("group")
+
+    def holds(name: Column, bridged: Column) -> Column:
+        split = {"biblical-apocrypha": f["bible"] & (F.col("part") == "other"), "christian-apocrypha": f["christian_apocrypha"]}
+        apocrypha = reduce(or_, ((name == g) & test for g, test in split.items()))
+        pseudepigrapha = ((name == "enochic") & f["enochic"]) | ((name == "other-pseudepigrapha") & ~f["enochic"])
+        other = bridged & ~((category == "restoration") & _is("edition_id", "kjv") & (F.col("part") == "other"))
+        return F.when(category == "apocrypha", apocrypha).when(category == "pseudepigrapha", pseudepigrapha).otherwise(other)
+
+    rows = category_columns(asked, groups)
+    known = reduce(or_, ((F.col("asked_category") == c) & F.col(f"`in_{c}`") for c in CATEGORIES))
+    place = default_place(asked, groups).select("key", F.struct("category", "group").alias("default"))
+    rows = rows.join(place, "key").withColumn("known", F.coalesce(known, F.lit(False)))
+    rows = rows.withColumns({"category": F.when(F.col("known"), F.col("asked_category")).otherwise(F.col("default.category")), "wanted": F.when(F.col("known"), F.coalesce("asked_group", F.lit(""))).otherwise(F.col("default.group"))})
+    bridge = groups.select(F.col("category_id").alias("category"), F.col("group_id").alias("wanted"), "edition_id", F.lit(True).alias("bridged")).distinct()
+    first = groups.groupBy(F.col("category_id").alias("category"), "edition_id").agg(F.min_by("group_id", "group_ord").alias("inferred"))
+    rows = rows.join(bridge, ["category", "wanted", "edition_id"], "left").join(first, ["category", "edition_id"], "left")
+    stays = (F.col("wanted") != "") & (~F.col("known") | F.coalesce(holds(F.col("wanted"), F.coalesce("bridged", F.lit(False))), F.lit(False)))
+    inferred = F.coalesce(holds(F.col("inferred"), F.lit(True)), F.lit(False))
+    rows = rows.withColumn("group", F.when(stays, F.col("wanted")).when(F.col("inferred").isNotNull() & inferred, F.col("inferred")).otherwise(""))
+    own = ~F.coalesce(F.col("imported"), F.lit(False))
+    return rows.select("key", F.when(own, category).otherwise("").alias("category"), F.when(own, group).otherwise("").alias("group"))
+
+
+def home_counts(works: DataFrame, segments: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One row of what a library holds: readable works, all records, sections, study mappings."""
+    w = works.agg(F.count_if(_is("content_state", READABLE)).alias("readable"), F.count(F.lit(1)).alias("records"))
+    s = segments.agg(F.count_distinct("work_key", "chapter").alias("sections"))
+    m = mapping.agg(F.count_distinct("work_key").alias("mappings"))
+    return w.crossJoin(s).crossJoin(m)  # one row each
+
+
 def by_title(rows: DataFrame, column: str = "title") -> DataFrame:
     """Rows in the order a reader expects: case and accents come after letters."""
     return rows.orderBy(F.collate(column, "UNICODE"))

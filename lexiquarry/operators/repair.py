@@ -16,14 +16,22 @@ PASSES = (
 MISREAD = ("Eterna1153Num. 31:50", "Eternal [153] Num. 31:50")
 
 
-def repaired(text: Column) -> tuple[Column, Column]:
-    """The repaired text and the number of markers; each pass counts in what the pass before left."""
-    count = F.lit(0)
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pass(pattern: str, to: str):
+    return lambda s: F.struct(F.regexp_replace(s["text"], pattern, to).alias("text"), (s["markers"] + F.regexp_count(s["text"], F.lit(pattern))).alias("markers"))
+
+
+def repaired(text: Column) -> Column:
+    """Struct of the repaired text, the number of markers, and how many are left over; each pass runs once, and counts in what the pass before left."""
+    state = F.struct(text.alias("text"), F.lit(0).alias("markers"))
     for pattern, to in PASSES:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, to)
-    hit = text.contains(MISREAD[0])
-    return F.replace(text, F.lit(MISREAD[0]), F.lit(MISREAD[1])), count + hit.cast("int")
+        state = _let(state, _pass(pattern, to))
+    state = _let(state, lambda s: F.struct(F.replace(s["text"], F.lit(MISREAD[0]), F.lit(MISREAD[1])).alias("text"), (s["markers"] + s["text"].contains(MISREAD[0]).cast("int")).alias("markers")))
+    return _let(state, lambda s: F.struct(s["text"].alias("text"), s["markers"].alias("markers"), suspicious(s["text"]).alias("left_over")))
 
 
 def suspicious(text: Column) -> Column:
@@ -33,9 +41,9 @@ def suspicious(text: Column) -> Column:
 
 def repair(segments: DataFrame, column: str = "text") -> DataFrame:
     """segments with repaired, markers, changed and left_over."""
-    new, count = repaired(F.coalesce(F.col(column), F.lit("")))
-    out = segments.withColumn("repaired", new).withColumn("markers", count)
-    return out.withColumns({"changed": F.col("repaired") != F.coalesce(F.col(column), F.lit("")), "left_over": suspicious(F.col("repaired"))})
+    whole = F.coalesce(F.col(column), F.lit(""))
+    out = segments.withColumn("_repair", repaired(whole))
+    return out.withColumns({"repaired": F.col("_repair.text"), "markers": F.col("_repair.markers"), "changed": F.col("_repair.text") != whole, "left_over": F.col("_repair.left_over")}).drop("_repair")
 
 
 def audit(repaired_segments: DataFrame, file: str) -> DataFrame:

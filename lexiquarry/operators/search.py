@@ -5,8 +5,6 @@ A segment table has at least: an order key, text, and what the caller wants to s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text
 
-SEARCH_LIMIT, RETRIEVE_LIMIT, CHAPTER_LIMIT, GROUNDING_LIMIT = 200, 18, 10, 30
+SEARCH_LIMIT, RETRIEVE_LIMIT, CHAPTER_LIMIT, GROUNDING_LIMIT, CONCORDANCE_LIMIT, LINKED_LIMIT = 200, 18, 10, 30, 100, 14
 PHRASE_LENGTH, PHRASE_BONUS, TERM_SCORE = 6, 8, 3
 PROMPT_ITEMS, PROMPT_ITEM_BYTES, PROMPT_BYTES = 24, 5000, 36000
+PREFERRED_MODEL = "llama3.2:3b"
 
 
 def _terms(frame: DataFrame, expression: Column) -> list[str]:
@@ -85,6 +84,18 @@ def grounding(producers: list[DataFrame], order: list[str], limit: int = GROUNDI
     return first.orderBy("producer", *order).limit(limit)
 
 
+def linked(grounded: DataFrame, order: list[str], limit: int = LINKED_LIMIT) -> DataFrame:
+    """The first grounding items, with the label that a reader sees."""
+    return grounded.orderBy(*order).limit(limit).withColumn("label", F.concat(F.lit("["), "id", F.lit("] "), F.coalesce("title", F.lit(""))))
+
+
+def model_names(models: DataFrame, key: list[str], column: str = "models") -> DataFrame:
+    """(key, names, preferred) of a column of structs (name, model): the distinct filled names in first-seen order, and the preferred one or else the first."""
+    names = F.array_distinct(F.filter(F.transform(column, lambda m: text.filled(text.trimmed(m["name"]), text.trimmed(m["model"]))), lambda n: n.isNotNull()))
+    wanted = F.get(F.filter(names, lambda n: F.lower(n) == PREFERRED_MODEL), F.lit(0))
+    return models.select(*key, names.alias("names"), F.coalesce(wanted, F.get(names, F.lit(0)), F.lit("")).alias("preferred"))
+
+
 def prompt_budget(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Bytes of each item (id, text) that a prompt takes: so many items looked at, so many bytes each and in all; blank ones take none."""
     by = Window.partitionBy(*group).orderBy(*order)
@@ -95,6 +106,26 @@ def prompt_budget(items: DataFrame, group: list[str], order: list[str]) -> DataF
     return long.withColumn("before", before).filter(F.col("before") < PROMPT_BYTES).withColumn("bytes", F.least(F.col("want").cast("long"), F.lit(PROMPT_BYTES) - F.col("before"))).drop("want", "before")
 
 
+def prompt_items(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """prompt_budget()'s items with their texts cut to what the prompt takes."""
+    return prompt_budget(items, group, order).withColumn("text", text.first_bytes(text.trimmed(F.col("text")), F.col("bytes").cast("int"))).filter("text <> ''")
+
+
+def prompts(items: DataFrame, question: str, group: list[str], order: list[str], preamble: str = "") -> DataFrame:
+    """(group, prompt, ids): the question and the items (id, kind, title, text) under the budget, as a model is asked; at most PROMPT_ITEMS items a group."""
+    filled = lambda c, before, after: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    entry = F.concat(F.lit("\n["), text.trimmed(F.col("id")), F.lit("]"), filled("kind", " (", ")"), filled("title", " ", ""), F.lit("\n"), "text", F.lit("\n"))
+    rows = prompt_items(items, group, order).select(*group, F.struct("ordinal", text.trimmed(F.col("id")).alias("id"), entry.alias("entry")).alias("e"))
+    by = rows.groupBy(*group).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    head = f"{preamble}QUESTION:\n{question.strip()}\n\nLOCAL CONTEXT:\n"
+    return by.select(*group, F.concat(F.lit(head), F.array_join(F.transform("e", lambda x: x["entry"]), "")).alias("prompt"), F.transform("e", lambda x: x["id"]).alias("ids"))
+
+
+def with_works(hits: DataFrame, works: DataFrame, on: str = "work_index") -> DataFrame:
+    """Hits with their work's key, title and edition; hits of unknown works are dropped. Whether works are broadcast is left to their measured size."""
+    return hits.join(works.select(on, F.col("key").alias("work_key"), F.col("title").alias("work_title"), "edition_title"), on)
+
+
 def concordance_hits(segments: DataFrame, term: str) -> DataFrame:
     """Segments with the word, and how often each has it."""
     needle = segments.sparkSession.range(1).select(text.word_norm(F.lit(term)).alias("n")).first()["n"]
@@ -106,8 +137,14 @@ def concordance_hits(segments: DataFrame, term: str) -> DataFrame:
 
 
 def concordance_by_work(segments: DataFrame, term: str, work: str = "work") -> DataFrame:
-    """Occurrences for each work, most first, then by name."""
-    return concordance_hits(segments, term).groupBy(work).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), work)
+    """Occurrences for each work, most first, then by name as a reader sorts names."""
+    return concordance_hits(segments, term).groupBy(work).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), F.collate(F.col(work).cast("string"), "UNICODE"), work)
+
+
+def concordance_of_works(segments: DataFrame, works: DataFrame, term: str, on: str = "work_index", limit: int = CONCORDANCE_LIMIT) -> DataFrame:
+    """The works that use a word most, with titles."""
+    counts = with_works(concordance_hits(segments, term).groupBy(on).agg(F.sum("count").alias("count")), works, on)
+    return counts.orderBy(F.desc("count"), F.collate("work_title", "UNICODE"), on).limit(limit)
 
 
 def concordance_total(segments: DataFrame, term: str) -> DataFrame:
@@ -156,9 +193,3 @@ def shards_for(filters: DataFrame, query: str, any_term: bool = False) -> DataFr
         other = might_hold(F.col("bloom"), F.lit(t))
         test = (test | other) if any_term else (test & other)
     return filters.filter(test).select("shard")
-
-
-def batches_of(segments: DataFrame) -> Iterator[DataFrame]:
-    """The shards one at a time, for callers that show results as they come."""
-    for shard in range(hashing.SHARDS):
-        yield segments.filter(F.col("shard") == shard)

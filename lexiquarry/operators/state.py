@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import hashing, text
 
 HISTORY = 100
 COLOUR = "gold"
@@ -46,20 +46,88 @@ def recent(rows: DataFrame, time: str, tie: list[str], most: int) -> DataFrame:
     return rows.orderBy(F.desc(time), *tie).limit(most)
 
 
-def removed_imports(events: DataFrame, user: list[str]) -> DataFrame:
-    """Works whose last import event is a removal, and when it was."""
-    last = events.filter(F.col("kind").isin("import", "remove-import")).groupBy(*user, "work").agg(F.max_by("kind", _when()).alias("last"), F.max("ts").alias("removed_at"))
-    return last.filter("last = 'remove-import'").drop("last")
+def removals(events: DataFrame, user: list[str]) -> DataFrame:
+    """(user, work, removed): the (ts, event_id) of each work's last removal that found it imported; a removal of what isn't imported does nothing."""
+    by = Window.partitionBy(*user, "work").orderBy("ts", "event_id")
+    rows = events.filter(F.col("kind").isin("import", "remove-import")).withColumn("_before", F.lag("kind").over(by))
+    return rows.filter("kind = 'remove-import' AND _before = 'import'").groupBy(*user, "work").agg(F.max(_when()).alias("removed"))
 
 
-def without_removed(rows: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
-    """State rows that no removal of their work takes along. Collections and plans aren't passed through this."""
-    return rows.join(removed.select(*keys), keys, "left_anti")
+def since_removal(events: DataFrame, removed: DataFrame, user: list[str]) -> DataFrame:
+    """Events that no later removal of their work takes along. Toggles, notes, positions and history are folded from these; collections and plans aren't."""
+    both = events.join(removed, [*user, "work"], "left")
+    return both.filter(F.col("removed").isNull() | (_when() > F.col("removed"))).select(*events.columns)
 
 
-def replaced_item(items: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """A collection's items without those that share a key with a new one, then the new ones."""
-    return items.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def import_id(source: Column, title: Column, chapters: Column) -> Column:
+    """An import's id from what it holds; chapters is its JSON without spaces."""
+    held = F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in (source, title, chapters)))
+    return F.concat(F.lit("u-"), hashing.base36(hashing.fnv1a(held)))
+
+
+def with_import_key(imports: DataFrame) -> DataFrame:
+    """imports(id, source, title, chapters, ...) with key; a null or empty id is made of the content, so the same import twice has one key."""
+    made = text.filled(F.col("id"), import_id(F.col("source"), F.col("title"), F.to_json("chapters")))
+    return imports.withColumn("id", made).withColumn("key", F.concat(F.lit("import/"), "id"))
+
+
+def replaced(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """current without the rows whose keys new has, then new's: an upsert in which the new row wins."""
+    return current.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def saved(current: DataFrame, new: DataFrame, kept: tuple[str, ...] = ("description", "created_at")) -> DataFrame:
+    """replaced() by (user, id) for collections and plans: the named columns keep their old values where new says nothing, and created_at always does."""
+    keys = ["user", "id"]
+    old = current.select(*keys, F.struct(*kept).alias("_old"))
+    value = lambda c: F.coalesce(F.col(f"_old.{c}"), F.col(c)) if c == "created_at" else F.coalesce(F.col(c), F.col(f"_old.{c}"))
+    rows = new.join(old, keys, "left").select(*(value(c).alias(c) if c in kept else F.col(c) for c in new.columns))
+    return replaced(current, rows, keys)
+
+
+def removed_row(current: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """current without the rows that gone names; a name that current lacks does nothing."""
+    return current.join(gone.select(*keys), keys, "left_anti")
+
+
+def item_key() -> list[Column]:
+    """What makes two items of a collection the same: five fields, empty ones equal to missing ones."""
+    blank = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)).alias(c)
+    return [blank("type", "passage"), *(blank(c, "") for c in ("work", "chapter", "passage", "source"))]
+
+
+def plan_steps(column: str) -> Column:
+    """A plan's steps (id, label, work, chapter, complete) with their defaults filled in."""
+
+    def one(s: Column, k: Column) -> Column:
+        number = (k + 1).cast("string")
+        return F.struct(F.coalesce(s["id"], number).alias("id"), text.filled(s["label"], s["work"], F.concat(F.lit("Step "), number)).alias("label"), F.coalesce(s["work"], F.lit("")).alias("work"), text.filled(s["chapter"], F.lit("1")).alias("chapter"), F.coalesce(s["complete"], F.lit(False)).alias("complete"))
+
+    return F.transform(F.coalesce(F.col(column), F.array()), one)
+
+
+def personal_items(notes_: DataFrame, bookmarks: DataFrame, work: str | None = None, chapter: str | None = None, passage: str | None = None) -> DataFrame:
+    """Notes and bookmarks (user, work, chapter, passage, text) with their type, all or those of a passage; keys are compared as texts."""
+    both = notes_.withColumn("type", F.lit("note")).unionByName(bookmarks.withColumn("type", F.lit("bookmark")), allowMissingColumns=True)
+    for name, value in (("work", work), ("chapter", chapter), ("passage", passage)):
+        if value is not None:
+            both = both.filter(F.col(name).cast("string") == str(value))
+    return both
+
+
+def with_work(rows: DataFrame, works: DataFrame) -> DataFrame:
+    """Annotations with their work's title and edition; those whose work is unknown aren't shown."""
+    return rows.join(works.select(F.col("key").alias("work"), F.col("title").alias("work_title"), F.col("edition_title").alias("work_edition")), "work")
+
+
+def dashboard(parts: dict[str, DataFrame], user: list[str]) -> DataFrame:
+    """(user, kind, n): how much of each kind every user has who has any, zeros included."""
+    counts = None
+    for kind, rows in parts.items():
+        one = rows.groupBy(*user).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+        counts = one if counts is None else counts.unionByName(one)
+    kinds = F.explode(F.array(*map(F.lit, parts))).alias("kind")
+    return counts.select(*user).distinct().select(*user, kinds).join(counts, [*user, "kind"], "left").select(*user, "kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def with_step(plans: DataFrame, plan: str, step: int, complete: bool) -> DataFrame:

@@ -52,6 +52,30 @@ def payload_rules(segments: DataFrame) -> list[DataFrame]:
     return [violations(segments.filter(text.is_blank(F.col("text"))), "blank-text", F.concat_ws("|", "work_key", "chapter", "seg_idx"))]
 
 
+def content_rules(files: DataFrame, local: DataFrame) -> list[DataFrame]:
+    """Rules of files(key, content), the payloads as JSON texts, and local(key): each readable work has one, it is JSON, has sections, they are arrays, and no segment is blank."""
+    parsed = files.withColumn("j", F.try_parse_json("content"))
+    chapters = F.try_variant_get("j", "$.chapters", "map<string,variant>")
+    sections = parsed.filter("j IS NOT NULL").select("key", F.explode_outer(chapters).alias("chapter", "v"))
+    is_array = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
+    items = sections.filter(F.col("chapter").isNotNull() & is_array).select("key", "chapter", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("k", "s"))
+    said = F.when(F.schema_of_variant(F.try_variant_get("s", "$.text", "variant")) == "STRING", F.try_variant_get("s", "$.text", "string"))
+    return [
+        orphans(local, files, "key", "key", "work-has-payload"),
+        violations(parsed.filter("j IS NULL"), "payload-is-json", F.col("key")),
+        violations(sections.filter("chapter IS NULL"), "payload-has-sections", F.col("key")),
+        violations(sections.filter(F.col("chapter").isNotNull() & ~is_array), "section-is-array", F.concat_ws("|", "key", "chapter")),
+        violations(items.filter(text.is_blank(said)), "segment-has-text", F.concat_ws("|", "key", "chapter", (F.col("k") + 1).cast("string"))),
+    ]
+
+
+def manifest_rules(manifest: DataFrame, actual: DataFrame, rule: str = "manifest-count") -> list[DataFrame]:
+    """Counts (name, n) that a manifest or a search index declares against those that are there; a name that only one side has is a violation too."""
+    both = manifest.select("name", F.col("n").alias("said")).join(actual.select("name", F.col("n").alias("found")), "name", "full_outer")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+    return [violations(both.filter(~F.col("said").eqNullSafe(F.col("found"))), rule, F.col("name"), F.concat(F.lit("said "), shown("said"), F.lit(", found "), shown("found")))]
+
+
 def mapping_rules(mapping: DataFrame, local: DataFrame) -> list[DataFrame]:
     return [orphans(mapping, local, "work_key", "key", "mapping-has-work"), orphans(local, mapping, "key", "work_key", "work-has-mapping")]
 
@@ -67,5 +91,10 @@ def report(rules: list[DataFrame]) -> DataFrame:
 
 
 def verdict(found: DataFrame) -> DataFrame:
-    """PASS or FAIL with the number of errors; the first SHOWN can be had by order and limit."""
+    """PASS or FAIL with the number of errors."""
     return found.agg(F.count(F.lit(1)).alias("errors")).withColumn("result", F.when(F.col("errors") == 0, "PASS").otherwise("FAIL"))
+
+
+def shown(found: DataFrame) -> DataFrame:
+    """The first SHOWN violations, in order."""
+    return found.orderBy("rule", "subject", "detail").limit(SHOWN)

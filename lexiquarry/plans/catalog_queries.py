@@ -175,7 +175,16 @@ def history_dedup_cap(spark, d):
 def import_cascade_delete(spark, d):
     log = _log(spark, d)
     imports = log.withColumn("kind", F.when(F.col("kind") == "error", "remove-import").when(F.col("kind") == "signup", "import").otherwise(F.col("kind")))
-    return state.without_removed(state.toggles(log.filter("kind = 'click'"), ["user_id", "work"]), state.removed_imports(imports, ["user_id"]), ["user_id", "work"])
+    events = state.since_removal(log, state.removals(imports, ["user_id"]), ["user_id"])
+    return state.toggles(events.filter("kind = 'click'"), ["user_id", "work"])
+
+
+def import_then_reimport(spark, d):
+    """The visits that are left: a removal takes those before it along, an import after it doesn't bring them back."""
+    log = _log(spark, d)
+    imports = log.withColumn("kind", F.when(F.col("kind") == "error", "remove-import").when(F.col("kind") == "signup", "import").otherwise(F.col("kind")))
+    events = state.since_removal(log, state.removals(imports, ["user_id"]), ["user_id"])
+    return state.history(events.filter("kind = 'view'"), ["user_id"], ["work"]).select("user_id", "work", "ts", "place")
 
 
 def plan_progress(spark, d):
@@ -186,7 +195,7 @@ def plan_progress(spark, d):
 def collection_replace(spark, d):
     items = table(spark, d, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.lit("old").alias("note"))
     new = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit("new").alias("note"))
-    return state.replaced_item(items, new, ["l_orderkey", "l_linenumber"])
+    return state.replaced(items, new, ["l_orderkey", "l_linenumber"])
 
 
 def annotated_chapter(spark, d):
@@ -202,7 +211,7 @@ def sources_listing(spark, d):
 
 
 def titles_in_order(spark, d):
-    return hierarchy.by_title(table(spark, d, "part").select(F.col("p_name").alias("title")).distinct()).limit(100)
+    return hierarchy.by_title(table(spark, d, "part").select(F.col("p_name").alias("title")).distinct())
 
 
 def study_context(spark, d):
@@ -249,7 +258,7 @@ def companion_records(spark, d):
     return crossrefs.companions(rows, titles, "w/10").select("id", "companion_work", "companion_title")
 
 
-QUERY_NAMES = ("study_context", "study_profiles", "study_mapping", "work_extraction", "work_integration", "acquisition_report", "companion_records", "classify_default", "classify_multilabel", "category_summary", "group_records", "acquisition_works", "distinct_first_seen", "shelf_summary", "state_histogram_zero_filled", "dense_index", "edition_rollup", "upsert_works", "mapping_coverage", "mapping_kinds", "works_with_editions", "backlinks_prefix", "xref_invert", "parallel_passages", "references_by_verse", "orphan_anti", "fk_violations", "duplicate_keys", "work_validation", "validation_verdict", "last_position", "bookmark_toggle", "highlight_toggle", "note_last_write", "history_dedup_cap", "import_cascade_delete", "plan_progress", "collection_replace", "annotated_chapter", "sources_listing", "titles_in_order")
+QUERY_NAMES = ("study_context", "study_profiles", "study_mapping", "work_extraction", "work_integration", "acquisition_report", "companion_records", "classify_default", "classify_multilabel", "category_summary", "group_records", "acquisition_works", "distinct_first_seen", "shelf_summary", "state_histogram_zero_filled", "dense_index", "edition_rollup", "upsert_works", "mapping_coverage", "mapping_kinds", "works_with_editions", "backlinks_prefix", "xref_invert", "parallel_passages", "references_by_verse", "orphan_anti", "fk_violations", "duplicate_keys", "work_validation", "validation_verdict", "last_position", "bookmark_toggle", "highlight_toggle", "note_last_write", "history_dedup_cap", "import_cascade_delete", "import_then_reimport", "plan_progress", "collection_replace", "annotated_chapter", "sources_listing", "titles_in_order")
 QUERIES = {n: globals()[n] for n in QUERY_NAMES}
 
 _list = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -263,7 +272,7 @@ x AS (SELECT *, lower(edition_id || ' ' || edition_title || '  ' || title || ' '
 y AS (SELECT *, {_in('edition_id', hierarchy.BIBLE_EDITIONS)} AS bible, section = 'Christian Apocrypha' OR starts_with(edition_id, 'christian-apocrypha-') AS apo,
   section = 'Pseudepigrapha' OR starts_with(edition_id, 'pseudepigrapha-') OR {_in('edition_id', hierarchy.ENOCHIC_EDITIONS + hierarchy.PSEUDEPIGRAPHA_EDITIONS)} AS pse,
   starts_with(edition_id, 'early-christian-') AS early, starts_with(edition_id, 'gnostic-') OR (edition_id = 'early-christian-sacred-i' AND contains(words, 'pistis sophia'))
-  OR (edition_id = 'christian-apocrypha-open-i' AND regexp_matches(words, '{"|".join(hierarchy.GNOSTIC_WORDS)}')) AS gno, regexp_matches(words, 'tewahedo|ethiop') AS eth,
+  OR (edition_id = 'christian-apocrypha-open-i' AND regexp_matches(words, '{hierarchy.GNOSTIC_WORDS}')) AS gno, regexp_matches(words, 'tewahedo|ethiop') AS eth,
   {_in('edition_id', hierarchy.ENOCHIC_EDITIONS)} OR regexp_matches(words, '\\benoch\\b|book of giants') AS eno FROM x)"""
 _FLAGS = ("(bible OR edition_id IN ('jewish-scripture-torah', 'torah-jps1917')) AND part = 'ot'", "bible AND part = 'nt'", "(bible AND part = 'other') OR apo", "pse", "early", "gno", "section = 'Hymns & Songs' OR regexp_matches(words, 'hymn|song|sacred poetry')", "eth", "rg IS NOT NULL", "jg IS NOT NULL", "content_state <> 'local-readable' OR starts_with(edition_id, 'research-')")
 _MULTI = " UNION ALL ".join(f"SELECT key, part, content_state, '{c}' AS category_id FROM y WHERE {f}" for c, f in zip(hierarchy.CATEGORIES, _FLAGS))
@@ -271,6 +280,8 @@ _LOG = "g AS (SELECT event_id, ts, user_id, event_type AS kind, 'w' || CAST(even
 _REFS = "z AS (SELECT l_orderkey, l_linenumber, l_partkey, 'Order ' || CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || CASE l_partkey % 4 WHEN 0 THEN '-' || CAST(l_linenumber + 3 AS VARCHAR) WHEN 1 THEN ',' || CAST(l_linenumber + 2 AS VARCHAR) WHEN 2 THEN '0' ELSE '' END AS reference FROM lineitem)"
 _CROSS = "q AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS chapter, CAST(l_linenumber % 3 AS VARCHAR) AS verse, 'part ' || CAST(l_partkey AS VARCHAR) AS anchor, 'see ' || CAST(l_partkey % 40 AS VARCHAR) AS reference, l_orderkey * 10 + l_linenumber AS pos FROM lineitem)"
 _CHECK = f"WITH {_WORKS}, v AS (SELECT key, content_state, CASE WHEN work_index % 13 <> 0 THEN key END AS reader_path, CASE WHEN work_index % 5 = 0 THEN 'ftp://x' ELSE 'https://x' END AS source_url, content_state = 'local-readable' OR key LIKE '%7' AS held FROM w), e AS (SELECT 'readable-has-payload' AS rule, key AS subject, '' AS detail FROM v WHERE content_state = 'local-readable' AND (NOT held OR reader_path IS NULL) UNION ALL SELECT 'others-have-none', key, '' FROM v WHERE content_state <> 'local-readable' AND (held OR reader_path IS NOT NULL) UNION ALL SELECT 'source-url', key, source_url FROM v WHERE content_state = 'source-readable' AND NOT regexp_matches(source_url, '^https?://'))"
+# an event goes if a removal that came after it found the work imported
+_LEFT = "i AS (SELECT *, lag(kind) OVER (PARTITION BY user_id, work ORDER BY ts, event_id) AS before FROM g WHERE kind IN ('error', 'signup')), gone AS (SELECT user_id, work, ts, event_id FROM i WHERE kind = 'error' AND before = 'signup'), left_events AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.user_id = g.user_id AND gone.work = g.work AND (gone.ts, gone.event_id) >= (g.ts, g.event_id)))"
 _TOGGLE = "SELECT user_id, work, max(ts) AS created_at FROM g WHERE kind = 'click' GROUP BY ALL HAVING count(*) % 2 = 1"
 
 ORACLES = {
@@ -310,10 +321,11 @@ CASE WHEN rg IS NOT NULL AND NOT bible THEN rg WHEN jg IS NOT NULL AND NOT bible
     "highlight_toggle": f"WITH {_LOG} SELECT user_id, work, max(ts) AS created_at, CASE WHEN arg_max(event_id, (ts, event_id)) % 2 = 0 THEN 'gold' ELSE 'blue' END AS value FROM g WHERE kind = 'purchase' GROUP BY ALL HAVING count(*) % 2 = 1",
     "note_last_write": f"WITH {_LOG} SELECT user_id, work, arg_max(value, (ts, event_id)) AS value FROM g WHERE kind = 'signup' GROUP BY ALL HAVING trim(arg_max(value, (ts, event_id))) <> ''",
     "history_dedup_cap": f"WITH {_LOG}, m AS (SELECT user_id, work, kind, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS e FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, e DESC) AS place FROM m) SELECT user_id, work, kind, ts, CAST(place AS INTEGER) AS place FROM r WHERE place <= 100",
-    "import_cascade_delete": f"WITH {_LOG}, i AS (SELECT user_id, work, arg_max(kind, (ts, event_id)) AS last FROM g WHERE kind IN ('error', 'signup') GROUP BY ALL), b AS ({_TOGGLE}) SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = b.user_id AND i.work = b.work AND i.last = 'error')",
+    "import_cascade_delete": f"WITH {_LOG}, {_LEFT} SELECT user_id, work, max(ts) AS created_at FROM left_events WHERE kind = 'click' GROUP BY ALL HAVING count(*) % 2 = 1",
+    "import_then_reimport": f"WITH {_LOG}, {_LEFT}, m AS (SELECT user_id, work, max((ts, event_id)) AS latest FROM left_events WHERE kind = 'view' GROUP BY ALL) SELECT user_id, work, latest[1] AS ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY latest DESC) AS INTEGER) AS place FROM m QUALIFY place <= 100",
     "plan_progress": "WITH p AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, l_returnflag = 'R' AS c FROM lineitem), s AS (SELECT id, CAST(count(*) FILTER (c OR (id = 1 AND k = 1)) AS INTEGER) AS done, CAST(count(*) AS INTEGER) AS steps FROM p GROUP BY id) SELECT id, done, steps, round(100.0 * done / steps) AS percent FROM s",
     "collection_replace": "SELECT l_orderkey, l_linenumber, 'old' AS note FROM lineitem WHERE l_linenumber <= 2 AND NOT (l_linenumber = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)) UNION ALL SELECT o_orderkey, 1, 'new' FROM orders WHERE o_orderkey % 3 = 0",
     "annotated_chapter": f"WITH {_LOG}, s AS (SELECT DISTINCT user_id, work FROM g), b AS ({_TOGGLE}), c AS (SELECT user_id, work, CASE WHEN coalesce(arg_max(value, (ts, event_id)), '') = '' THEN 'gold' ELSE arg_max(value, (ts, event_id)) END AS colour FROM g WHERE kind = 'purchase' GROUP BY ALL HAVING count(*) % 2 = 1), n AS (SELECT user_id, work, arg_max(value, (ts, event_id)) AS note FROM g WHERE kind = 'signup' GROUP BY ALL HAVING trim(arg_max(value, (ts, event_id))) <> '') SELECT s.user_id, s.work, b.created_at IS NOT NULL AS bookmarked, c.colour, n.note FROM s LEFT JOIN b USING (user_id, work) LEFT JOIN c USING (user_id, work) LEFT JOIN n USING (user_id, work)",
     "sources_listing": f"WITH {_WORKS} SELECT key, content_state FROM w WHERE content_state <> 'local-readable' ORDER BY work_index LIMIT 250",
-    "titles_in_order": "SELECT DISTINCT p_name AS title FROM part ORDER BY title LIMIT 100",
+    "titles_in_order": "SELECT DISTINCT p_name AS title FROM part ORDER BY title",
 }

@@ -12,8 +12,14 @@ PAYLOAD = f"edition struct<id:string,title:string,language:string,rights:string,
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Payload files under a folder. The schema is given, for inference would make every chapter a column."""
-    return spark.read.schema(PAYLOAD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    """Payload files under a folder, plain or with .gz after .json. The schema is given, for inference would make every chapter a column."""
+    return spark.read.schema(PAYLOAD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json{,.gz}").json(path)
+
+
+def read_zipped(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
+    """(path, member, content) of the files in zip archives under a folder, in the archives' order."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.explode(udfs.unzipped("content")).alias("m")).select("path", "m.member", "m.content")
 
 
 def read_maybe_gzip(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -33,11 +39,18 @@ def segments_of(payloads: DataFrame) -> DataFrame:
 
 
 def normalised_segments(column: str):
-    """An import's segments, strings or objects with text or value as VARIANT, as structs (label, text) without blank ones."""
-    items = F.col(column).cast("array<variant>")
-    one = lambda v: F.coalesce(F.try_variant_get(v, "$.text", "string"), F.try_variant_get(v, "$.value", "string"), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
-    rows = F.transform(items, lambda v, k: F.struct(F.coalesce(F.try_variant_get(v, "$.label", "string"), (k + 1).cast("string")).alias("label"), text.trimmed(one(v)).alias("text")))
-    return F.filter(rows, lambda s: F.coalesce(s["text"], F.lit("")) != "")
+    """An import's segments as structs (label, text), from VARIANT.
+
+    A string is a segment as it is, blank or not, labelled by its place. An object has text or else value, trimmed, and
+    label, else v, else its place as label; blank ones and all other kinds are left out.
+    """
+    items = F.try_variant_get(column, "$", "array<variant>")
+    get = lambda v, *names: F.coalesce(*(F.try_variant_get(v, f"$.{n}", "string") for n in names))
+    plain = lambda v: F.schema_of_variant(v) == "STRING"
+    place = lambda k: (k + 1).cast("string")
+    rows = F.transform(items, lambda v, k: F.when(plain(v), F.struct(place(k).alias("label"), F.try_variant_get(v, "$", "string").alias("text"), F.lit(True).alias("plain")))
+        .otherwise(F.struct(F.coalesce(get(v, "label", "v"), place(k)).alias("label"), text.trimmed(get(v, "text", "value")).alias("text"), F.lit(False).alias("plain"))))
+    return F.filter(rows, lambda s: s["plain"] | (F.coalesce(s["text"], F.lit("")) != ""))
 
 
 def json_import(files: DataFrame, key: str, column: str = "content") -> DataFrame:
@@ -79,8 +92,15 @@ def write_sharded(segments: DataFrame, path: str, index: str = "work_index", sha
 
 
 def embedded(pages: DataFrame, key: str, name: str, column: str = "html") -> DataFrame:
-    """(key, value): what a page's script assigns to window.<name>, as VARIANT."""
-    return pages.select(key, F.try_parse_json(udfs.window_assignment(F.col(column), F.lit(name))).alias("value"))
+    """(key, value, problem): what a page's script assigns to window.<name>, as VARIANT, or why there is none."""
+    rows = pages.select(key, udfs.window_assignment(F.col(column), F.lit(name)).alias("_got")).select(key, F.try_parse_json("_got.json").alias("value"), F.col("_got.problem").alias("problem"))
+    return rows.withColumn("problem", F.coalesce("problem", F.when(F.col("value").isNull(), F.lit(f"the value assigned to {name} isn't JSON"))))
+
+
+def embedded_or_fail(pages: DataFrame, key: str, name: str, column: str = "html") -> DataFrame:
+    """embedded() where a page without a value is an error."""
+    rows = embedded(pages, key, name, column)
+    return rows.select(key, F.when(F.col("problem").isNull(), F.col("value")).otherwise(F.raise_error(F.col("problem"))).alias("value"))
 
 
 def packed(payloads: DataFrame, key: str, column: str) -> DataFrame:
