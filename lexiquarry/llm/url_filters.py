@@ -22,13 +22,13 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def patterns_of(host: Column, path: Column) -> Column:
-    """Structs (depth, pattern): all domains of at least two labels that the host is in (a single label is itself), each alone and with every run of leading path segments."""
+def patterns_of(host: Column, path: Column, deepest: int) -> Column:
+    """Structs (labels, segments, pattern): all domains of at least two labels that the host is in (a single label is itself), each alone and with every run of at most `deepest` leading path segments."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((n - i + 1).alias("labels"), F.array_join(F.slice(labels, i, n), ".").alias("domain")))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    paths = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda k: F.struct(k.alias("segments"), F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))).alias("path")))
+    paths = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(deepest))), lambda k: F.struct(k.alias("segments"), F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))).alias("path")))
     both = F.transform(domains, lambda d: F.transform(paths, lambda p: F.struct(d["labels"].alias("labels"), p["segments"].alias("segments"), F.concat(d["domain"], p["path"]).alias("pattern"))))
     return F.flatten(both)
 
@@ -51,23 +51,26 @@ def decided(captures: DataFrame, entries: DataFrame, prefix: str = "url_") -> Da
     """captures(url, fetched, ...) with <prefix>host, pattern, action and blocked.
 
     A URL without a host, a null fetch time, and a URL that no entry in force matches are not blocked, with null pattern
-    and action. Rows that repeat are decided each. Longer domains win, then longer paths.
+    and action. Rows that repeat are decided each. Longer domains win, then longer paths. Empty tables stay empty. Paths
+    are taken as deep as the list's deepest entry, which loses no match and bounds the work on very long URLs. Columns of
+    captures may have any name that doesn't start with the prefix.
     """
     c = lambda name: F.col(prefix + name)
     rows = captures.withColumns({prefix + "row": F.monotonically_increasing_id(), prefix + "host": host_of(F.col("url"))})
     rows = stash(rows, "captures")
-    keys = rows.filter(c("host").isNotNull() & F.col("fetched").isNotNull()).select(c("row").alias("row"), "fetched", F.explode(patterns_of(c("host"), F.regexp_extract("url", PATH, 1))).alias("p"))
-    keys = keys.select("row", "fetched", "p.labels", "p.segments", "p.pattern")
     lists = cut(intervals(entries))
+    deepest = lists.agg(F.max(F.size(F.filter(F.split("pattern", "/"), lambda s: s != "")) - 1)).first()[0] or 0
+    keys = rows.filter(c("host").isNotNull() & F.col("fetched").isNotNull()).select(c("row").alias("row"), "fetched", F.explode(patterns_of(c("host"), F.regexp_extract("url", PATH, 1), deepest)).alias("p"))
+    keys = keys.select("row", "fetched", "p.labels", "p.segments", "p.pattern")
     # captures for each listed pattern, from which the join knows its hot keys
     n = keys.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     met = lookup_join(keys, cut(lists.join(n, "pattern")), "pattern", "n")
     inside = F.filter("spans", lambda s: (s["since"] <= F.col("fetched")) & (s["until"].isNull() | (F.col("fetched") < s["until"])))
     met = met.withColumn("action", F.get(inside, F.lit(0))["action"]).filter("action IS NOT NULL")
-    best = met.groupBy("row").agg(F.max(F.struct("labels", "segments", "pattern", "action")).alias("best"))
+    best = met.groupBy("row").agg(F.max(F.struct("labels", "segments", "pattern", "action")).alias(prefix + "best"))
     out = rows.join(best.withColumnRenamed("row", prefix + "row"), prefix + "row", "left")
-    out = out.withColumns({prefix + "pattern": F.col("best.pattern"), prefix + "action": F.col("best.action"), prefix + "blocked": F.coalesce(F.col("best.action") == "block", F.lit(False))})
-    return out.drop(prefix + "row", "best")
+    out = out.withColumns({prefix + "pattern": c("best.pattern"), prefix + "action": c("best.action"), prefix + "blocked": F.coalesce(c("best.action") == "block", F.lit(False))})
+    return out.drop(prefix + "row", prefix + "best")
 
 
 def keep(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ WITH u AS (SELECT page_id, url, row_number() OVER () AS row, DATE '2020-01-01' +
 l AS (SELECT *, string_split(host, '.') AS labels, [s FOR s IN string_split(path, '/') IF s <> ''] AS segments FROM u WHERE host IS NOT NULL),
 n AS (SELECT DISTINCT unnest([host, host || first, CASE WHEN len(labels) > 2 THEN array_to_string(labels[2:], '.') ELSE host END]) AS pattern FROM l),
 i AS (SELECT pattern, unnest(range(0, 2 + {_NUMBER.format('n')} % 3)) AS k FROM n WHERE {_NUMBER.format('in')} % 5 < 2),
-e AS (SELECT lower(pattern) AS pattern, CASE WHEN ({_NUMBER.format('first')} + k) % 2 = 0 THEN 'block' ELSE 'allow' END AS action,
+e AS (SELECT lower(split_part(pattern, '/', 1)) || substr(pattern, length(split_part(pattern, '/', 1)) + 1) AS pattern, CASE WHEN ({_NUMBER.format('first')} + k) % 2 = 0 THEN 'block' ELSE 'allow' END AS action,
       DATE '2020-01-01' + CAST(({_NUMBER.format('day')} + k * 397) % 1461 AS INTEGER) AS listed FROM i),
 d AS (SELECT pattern, listed, min(action) AS action FROM e GROUP BY ALL),
 v AS (SELECT *, lead(listed) OVER (PARTITION BY pattern ORDER BY listed) AS until FROM d),

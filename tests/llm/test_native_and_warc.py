@@ -35,6 +35,10 @@ def test_url_list_paths_keep_their_case(spark):
     frame = spark.createDataFrame([(i, u, day(2)) for i, (u, _) in enumerate(rows)], "id long, url string, fetched date")
     got = {r["id"]: r["url_action"] for r in url_filters.decided(frame, entries).collect()}
     assert got == {i: a for i, (_, a) in enumerate(rows)}
+    clash = url_filters.decided(frame.selectExpr("*", "1 AS best", "2 AS row", "3 AS spans", "4 AS labels", "5 AS n"), entries)
+    assert {r["id"]: (r["url_action"], r["best"], r["n"]) for r in clash.collect()} == {i: (a, 1, 5) for i, (_, a) in enumerate(rows)}
+    deep = spark.createDataFrame([(0, "http://bad.com/Ads/" + "x/" * 20_000, day(2))], frame.schema)
+    assert url_filters.decided(deep, entries).first()["url_action"] == "block"
 
 
 def test_warc(spark, tmp_path):
