@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run without ASCII white space. bytes.split() cuts at the same six characters.
@@ -155,6 +155,19 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def bounded_sample(docs: DataFrame, ids: DataFrame, salt: str, rows: int, size: int, group: str, each: int | None = None) -> DataFrame:
+    """(doc_id, group) of ids(doc_id, group): of each group the first by a hash of doc_id, until all groups together have `rows` of them, a group `each`, or a group's texts `size` bytes.
+
+    Groups take turns, so a small one isn't crowded out. Texts of any length count alike; each group has one at least. What
+    comes out is at most `rows` rows.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id"))
+    first = cut(ids.withColumn("place", place).filter(F.col("place") <= min(rows, each or rows)).orderBy("place", group).limit(rows))
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(first), "doc_id").groupBy("doc_id", group, "place").agg(F.sum("n").alias("n"))
+    so_far = sizes.withColumn("so_far", F.sum("n").over(Window.partitionBy(group).orderBy("place")))
+    return cut(so_far.filter((F.col("so_far") <= size) | (F.col("so_far") == F.col("n"))).select("doc_id", group))
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, n: str, small: int = 100_000) -> DataFrame:
     """Left outer join with right, which has one row for each key and, in column n, the number of left's rows with it.
 

@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut
+from .common import bounded_sample, crc_of_id, cut
 
-#: Labelled rows for the fit: of each class the first by a hash of doc_id, until there are so many, or so many bytes of
-#: text in all. Texts of any length count alike; all others calibrate and are scored.
+#: Labelled rows for the fit: of each class the first by a hash of doc_id, until there are so many, or so
+#: many bytes of text. Texts of any length count alike; all others calibrate and are scored.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
 #: Parts of the labelled rows, by a hash of the words; each is calibrated on by a model fitted without it.
 CALIBRATION = 4
@@ -226,13 +226,8 @@ def known(labels: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, by: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets and labels of the first texts of each class of by(doc_id, toxic), by a hash of doc_id, up to `rows` ids and `size` bytes (one text at least)."""
-    order = lambda: (F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
-    picked = [by.filter(F.col("toxic") == k).orderBy(*order()).limit(rows) for k in (0, 1)]
-    chosen = cut(picked[0].unionByName(picked[1]))  # at most 2 * rows ids
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("toxic").orderBy(*order()))
-    chosen = cut(sizes.withColumn("before", so_far - F.col("n")).filter((F.col("before") == 0) | (F.col("before") + F.col("n") <= size)).select("doc_id", "toxic"))
+    """Buckets and labels of the first texts of each class of by(doc_id, toxic), by a hash of doc_id, up to `rows` ids and `size` bytes a class."""
+    chosen = bounded_sample(docs, by, "sample", 2 * rows, size, "toxic", rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

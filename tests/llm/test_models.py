@@ -257,6 +257,10 @@ def test_kneser_ney_brute(spark):
         w = ["<s>", "<s>", *t.split(), "</s>"]
         want = sum(math.log(p(*x)) for x in zip(w, w[1:], w[2:]))
         assert kneser_ney.log_likelihood(model, grams(t)) == pytest.approx(want, rel=1e-4)
+    some = [*texts, "a b c", "zz a b zz", "", None, "g g g g a"]
+    joined = kneser_ney.likelihoods_by_joins(spark.createDataFrame([(t,) for t in some], "text string"), kneser_ney.fitted(frame)).collect()
+    assert sorted(r["log_likelihood"] for r in joined) == pytest.approx(sorted(kneser_ney.log_likelihood(model, grams(t)) for t in some), rel=1e-4)
+    assert sum(r["n_tokens"] for r in joined) == sum(len((t or "").split()) + 1 for t in some)
     vocabulary = ["a", "b", "c", "d", "e", "f", "g", "</s>"]
     assert sum(p("a", "b", x) for x in [*vocabulary, "unseen"]) == pytest.approx(1)
 
