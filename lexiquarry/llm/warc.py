@@ -2,12 +2,12 @@
 
 Headers, not payloads, decide: digests are counted, each digest's response is chosen, and records are joined to it
 by digest. Archives are written through Spark's committer (a lost executor leaves no half file): a record ends with
-two line ends, which is the text writer's separator, and each file is one gzip stream of WARC/1.1 records.
+two line ends, which is the text writer's separator, and each file is one gzip stream of WARC/1.1 records. They are
+read as a stream of the same parts, so that a task holds a record at a time, whatever the size of its file.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +18,7 @@ from .common import cut, lookup_join, scratch
 
 #: Payloads of fewer bytes are never revisits.
 MIN_BYTES = 0
-#: Records in an archive file at most; a reader holds a file at a time.
+#: Records in an archive file at most.
 FILE_RECORDS = 4000
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -57,7 +57,10 @@ def record_id(page_id: Column) -> Column:
 
 
 def records(resolved: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record as text for each row, with headers made anew, without the two line ends that end it."""
+    """One WARC record as text for each row of resolve(), with headers made anew, without the two line ends that end it.
+
+    A null page_id or URL has no header; line ends in a URL become spaces; rows that repeat are records each; an empty table gives none.
+    """
     eol = F.lit("\r\n")
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, eol), F.lit(""))
     one_line = F.regexp_replace(F.col("url"), "[\r\n]+", " ")
@@ -76,21 +79,53 @@ def write_archives(resolved: DataFrame, path: str, compression: str = "gzip", fi
     records(resolved).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
 
 
-def _parsed(data: bytes, name: str) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    if name.endswith(".gz"):
-        data = zlib.decompress(data, 31)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n")
+_END = b"\r\n\r\n"
+
+
+class Records:
+    """Records out of the parts of one archive between its double line ends, in their order."""
+
+    def __init__(self, name: str):
+        self.name, self.head, self.parts, self.size, self.want = name, None, [], 0, 0
+
+    def part(self, data: bytes) -> list[tuple[dict[bytes, bytes], bytes]]:
+        """Takes the next part in; the records that it completes. A block may hold double line ends itself, and one that ends with a line end shifts the parts after it."""
+        self.parts.append(data + _END)
+        self.size += len(data) + len(_END)
+        out = []
+        while True:
+            if self.head is None and not self._open():
+                return out
+            if self.size < self.want:
+                return out
+            out.append(self._close())
+
+    def _open(self) -> bool:
+        text = b"".join(self.parts)
+        end = text.find(_END)
+        if end <= 0:
+            return False
+        lines = text[:end].split(b"\r\n")
         if lines[0] != b"WARC/1.1":
-            raise ValueError(f"no WARC record at byte {at} of {name}")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        size, body = int(head[b"content-length"]), end + 4
-        if data[body + size : body + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} of {name} isn't ended by two line ends")
-        yield head, data[body : body + size]
-        at = body + size + 4
+            raise ValueError(f"no WARC record where one should start in {self.name}")
+        self.head = {k.lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
+        rest = text[end + 4 :]
+        self.parts, self.size, self.want = [rest], len(rest), int(self.head[b"content-length"]) + len(_END)
+        return True
+
+    def _close(self) -> tuple[dict[bytes, bytes], bytes]:
+        data, n = b"".join(self.parts), self.want - len(_END)
+        if data[n : self.want] != _END:
+            raise ValueError(f"a record of {self.name} isn't ended by two line ends")
+        rest, head = data[self.want :], self.head
+        self.head, self.parts, self.size = None, [rest] if rest else [], len(rest)
+        return head, data[:n]
+
+    def end(self) -> None:
+        """No part follows. What the last separator left over isn't data: it is only added between parts."""
+        left = b"".join(self.parts)
+        if self.head is not None or left.strip(b"\r\n"):
+            raise ValueError(f"the last record of {self.name} has no end")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -98,19 +133,33 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        names = ["page_id", "url", "record_type", "payload_digest", "refers_to", "block_bytes", "payload"]
+        reader: Records | None = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                out: list[list] = [[] for _ in kinds]
-                for h, block in _parsed(batch.column(1)[k].as_py(), batch.column(0)[k].as_py()):
-                    number = lambda name: int(h[name]) if name in h else None  # noqa: B023, E731
+            out: list[list] = [[] for _ in kinds]
+            held = 0
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if reader is None or reader.name != name:
+                    if reader is not None:
+                        reader.end()
+                    reader = Records(name)
+                for h, block in reader.part(line.as_py().encode()):
+                    number = lambda key: int(h[key]) if key in h else None  # noqa: B023, E731
                     url = h.get(b"warc-target-uri")
                     row = (number(b"x-page-id"), None if url is None else url.decode(), h[b"warc-type"].decode(), h[b"warc-payload-digest"].decode().removeprefix("sha1:"), number(b"x-refers-to-page-id"), len(block), block.decode() if payloads else None)
                     for column, value in zip(out, row):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["page_id", "url", "record_type", "payload_digest", "refers_to", "block_bytes", "payload"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(parse, "page_id long, url string, record_type string, payload_digest string, refers_to long, block_bytes long, payload string")
+                    held += len(block) if payloads else 0
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                    out, held = [[] for _ in kinds], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+        if reader is not None:
+            reader.end()
+
+    # a file's parts are read in order by one task: its rows are never split
+    parts = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "part-*").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parts.mapInArrow(parse, "page_id long, url string, record_type string, payload_digest string, refers_to long, block_bytes long, payload string")
 
 
 def resolved_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import random
 from base64 import b32encode
 from math import comb
 
@@ -43,12 +44,12 @@ def test_url_list_paths_keep_their_case(spark):
 
 def test_warc(spark, tmp_path):
     body = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nx"
-    rows = [(1, "http://a", body, "p"), (7, "http://b\r\nX: 1", body, "p"), (3, None, "", "p"), (4, "u", None, "p"), (5, "u", "é\n", "p"), (6, "u", "x" * 100_000, "p"), (None, "u", body, "p"), (5, "u", "é\n", "p")]
+    rows = [(11, "u", "x\r\n", "p"), (12, "u", "\r\n\r\n\r\n", "p"), (13, "u", "y\r\n\r\n", "p"), (1, "http://a", body, "p"), (7, "http://b\r\nX: 1", body, "p"), (3, None, "", "p"), (4, "u", None, "p"), (5, "u", "é\n", "p"), (6, "u", "x" * 100_000, "p"), (None, "u", body, "p"), (5, "u", "é\n", "p")]
     frame = spark.createDataFrame(rows, PAGES)
     path = common.scratch(spark, "test")
     warc.write_archives(warc.resolve(frame), path, file_records=3)
     full = warc.read_archives(spark, path).collect()
-    assert sorted(r["payload"] for r in full if r["record_type"] == "response") == sorted([body, "", "é\n", "é\n", "x" * 100_000])
+    assert sorted(r["payload"] for r in full if r["record_type"] == "response") == sorted([body, "", "é\n", "é\n", "x" * 100_000, "x\r\n", "\r\n\r\n\r\n", "y\r\n\r\n"])
     got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.resolved_archives(spark, path).collect())
     digest = lambda t: b32encode(hashlib.sha1(t.encode()).digest()).decode()
     want = []
@@ -64,6 +65,24 @@ def test_warc(spark, tmp_path):
     assert warc.resolved_archives(spark, empty).count() == 0
 
 
+def test_records_of_parts():
+    """Whatever line ends the blocks hold, the parts between double line ends give the records back."""
+    rng = random.Random(2)
+    for _ in range(300):
+        blocks = [b"".join(rng.choice([b"\r\n", b"\r\n\r\n", b"a", b"WARC/1.1\r\n", b"\n", b"\r"]) for _ in range(rng.randrange(5))) for _ in range(rng.randrange(1, 6))]
+        data = b"".join(b"WARC/1.1\r\nN: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(x), x) for k, x in enumerate(blocks))
+        parts = data.split(b"\r\n\r\n")
+        reader, got = warc.Records("f"), []
+        for part in parts[:-1] if not parts[-1] else parts:
+            got += reader.part(part)
+        reader.end()
+        assert [(int(h[b"n"]), x) for h, x in got] == list(enumerate(blocks))
+    cut_short = warc.Records("f")
+    assert cut_short.part(b"WARC/1.1\r\nContent-Length: 9") == [] and cut_short.part(b"ab") == []
+    with pytest.raises(ValueError, match="has no end"):
+        cut_short.end()
+
+
 def test_mixing(spark):
     rows = [(i, "w " * 10, "en", f"s{i % 3}", 0, 0) for i in range(300)] + [(1000 + i, "w", "en", None, 0, 0) for i in range(10)] + [(2000, None, "en", "empty", 0, 0), (None, "a b", "en", "s0", 0, 0), (5, "w " * 10, "en", "s2", 0, 0)]
     frame = spark.createDataFrame(rows, DOCS)
