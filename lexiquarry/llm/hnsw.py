@@ -1,26 +1,30 @@
 """Approximate nearest neighbours by largest inner product: a navigable small-world graph for each shard.
 
 Vectors are dealt over shards of bounded size by a hash of their id. A shard's equal vectors become one node; its
-graph is kept as flat neighbour arrays, a row of the index for each shard. Blocks of queries meet every shard, walk
-its layers together, and the shards' results are merged. Scores are inner products of the original vectors in
+graph is kept as flat neighbour arrays, a row of the index for each shard. A node's candidates at its insertion are
+exact among the nodes before it: within a shard of this size a matrix product costs less than a walk. Every shard's
+index row moves once; the queries stream past it in batches, walk its layers together, and the shards' results are
+merged. Scores are inner products of the original vectors in
 double precision; one coordinate more makes the largest product the least distance, which the graph is built on.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, stash
 
 #: Vectors of a shard, about.
-SHARD = 4000
-#: Queries of a block, about.
-BLOCK = 2000
+SHARD = 16_000
+#: Queries that walk a shard together, at most.
+BLOCK = 1000
 #: Neighbours of a node (twice as many in the lowest layer), candidates for them, and the beam of a search.
 M, CANDIDATES, BEAM = 16, 64, 96
 TOP = 20
@@ -221,26 +225,32 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEA
     vector; a query meets vectors of its own length only. Fewer than `top` come where there are fewer.
     """
     asked = queries.filter(usable("embedding") & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
-    asked = cut(asked.withColumn("dim", F.size("embedding")))
-    blocks = max(1, math.ceil(asked.count() / block))
+    asked = asked.withColumn("dim", F.size("embedding"))
     shards = cut(index.select("dim", "shard"))
     n_shards = shards.count()
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.join(F.broadcast(shards) if n_shards <= 100_000 else shards, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).cast("int"))
-
-    def run(one: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "part": pd.Series(dtype="int32")})
-        row = one.iloc[0]
-        outs = []
-        for lo in range(0, len(asked), 1000):
-            some = asked.iloc[lo : lo + 1000]
-            outs.append(searched(row, int(row["dim"]), some["vec_id"].to_numpy(np.int64), np.stack(some["embedding"].to_list()).astype(np.float64), top, beam))
-        q, v, s = (np.concatenate(c) for c in zip(*outs))
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s, "part": np.full(len(q), int(row["shard"]) // 64, np.int32)})
-
-    keys = ("dim", "shard", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double, part int")
+    there = asked.join(F.broadcast(shards) if n_shards <= 100_000 else shards, "dim")
+    none = lambda frame, names: [F.lit(None).cast(frame.schema[c].dataType).alias(c) for c in names]
+    own = ["vectors", "ids", "first", "nodes", "neighbours"]
+    rows = index.select("dim", "shard", *none(asked, ("vec_id", "embedding")), *own).unionByName(there.select("dim", "shard", "vec_id", "embedding", *none(index, own)))
+    # a shard's index comes before its queries
+    sorted_rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("vec_id").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one: dict = {}
+        for whole in batches:
+            heads = whole.column("vec_id").is_null().to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(heads).tolist(), whole.num_rows]
+            for lo, hi in zip(starts, starts[1:]):
+                if lo < hi and heads[lo]:
+                    one = whole.slice(lo, 1).to_pylist()[0]
+                    lo += 1
+                for at in range(lo, hi, block):
+                    some = whole.slice(at, min(block, hi - at))
+                    vectors = some.column("embedding").flatten().to_numpy().reshape(some.num_rows, one["dim"])
+                    q, v, s = searched(one, one["dim"], some.column("vec_id").to_numpy(), vectors, top, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s), pa.array(np.full(len(q), one["shard"] // 64, np.int32))], names=["query_id", "vec_id", "score", "part"])
+
+    found = sorted_rows.mapInArrow(run, "query_id long, vec_id long, score double, part int")
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))
     if n_shards > 64:  # merged in two steps, so that no query's results of very many shards meet at once
         found = found.withColumn("rank", best("query_id", "part")).filter(F.col("rank") <= top)
