@@ -30,10 +30,8 @@ from .common import crc_of_id, cut, stash
 SENT_WORDS = 1 << 19
 #: Languages with a model of their own, at most; all others share one.
 LANGUAGES = 7
-#: Bytes of a piece, at most; longer entries of the vocabulary aren't used.
-PIECE_BYTES = 16
-#: Longer words don't take part in fitting the pieces (they are scored).
-FIT_BYTES = 64
+#: Words of more bytes go alone, a stretch of so many places at a time, so that memory doesn't grow with their length.
+LONG_BYTES, STRETCH = 256, 1 << 15
 ROUNDS = 3
 #: What a language's unseen words leave to words of other languages; the pieces have the rest.
 FOREIGN = 0.1
@@ -64,17 +62,17 @@ def _hash(data: bytes) -> int:
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the usable pieces, whether each starts a word, and its rank. A word starts with a space; a piece has no other and no A-Z."""
+def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, ...]]:
+    """Sorted hashes of the usable pieces, whether each starts a word, its rank, and the pieces' lengths in bytes. A word starts with a space; a piece has no other and no A-Z."""
     rows = []
     with open(path, "rb") as lines:
         for a, b in map(bytes.split, lines):
             piece = base64.b64decode(a)
-            if len(piece) <= PIECE_BYTES and piece == piece.lower() and len(piece.split()) == 1 and piece.split()[0] == piece.removeprefix(b" "):
-                rows.append((_hash(piece), piece.startswith(b" "), int(b)))
-    rows.append((_hash(b" "), True, 220))  # a word may start with any byte
-    rows = sorted({h: (h, s, r) for h, s, r in rows}.values())
-    return np.asarray([r[0] for r in rows], np.uint64), np.asarray([r[1] for r in rows]), np.asarray([r[2] for r in rows], np.int64)
+            if piece == piece.lower() and len(piece.split()) == 1 and piece.split()[0] == piece.removeprefix(b" "):
+                rows.append((_hash(piece), piece.startswith(b" "), int(b), len(piece)))
+    rows.append((_hash(b" "), True, 220, 1))  # a word may start with any byte
+    rows = sorted({r[0]: r for r in rows}.values())
+    return np.asarray([r[0] for r in rows], np.uint64), np.asarray([r[1] for r in rows]), np.asarray([r[2] for r in rows], np.int64), tuple(sorted({r[3] for r in rows}))
 
 
 def scores_of(weights: np.ndarray, starts: np.ndarray, words: float) -> tuple[np.ndarray, float]:
@@ -87,7 +85,7 @@ def scores_of(weights: np.ndarray, starts: np.ndarray, words: float) -> tuple[np
 
 
 def initial(path: str) -> tuple[np.ndarray, float]:
-    _, starts, ranks = pieces(path)
+    _, starts, ranks, _ = pieces(path)
     return scores_of(1 / (ranks + 100.0), starts, float((1 / (ranks + 100.0))[starts].sum()))
 
 
@@ -95,7 +93,7 @@ class Lattice:
     """Sums over the segmentations of many words of one length at once, for several models: lp has a row of piece scores for each."""
 
     def __init__(self, path: str, lp: np.ndarray, end: np.ndarray):
-        self.hashes, self.starts, _ = pieces(path)
+        self.hashes, self.starts, _, self.lengths = pieces(path)
         self.lp, self.end = np.concatenate([lp, np.full((len(lp), 1), -np.inf)], axis=1), end  # the last: no such piece
 
     def arcs(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -104,11 +102,14 @@ class Lattice:
         prefix = np.zeros((n + 1, rows), np.uint64)
         for k in range(n):
             prefix[k + 1] = prefix[k] * _MUL + words[:, k] + np.uint64(1)
-        powers = [np.uint64(pow(int(_MUL), k, 1 << 64)) for k in range(PIECE_BYTES + 1)]
+        powers = {k: np.uint64(pow(int(_MUL), k, 1 << 64)) for k in self.lengths}
         out = []
         for i in range(n):
-            for j in range(i + 1, min(n, i + PIECE_BYTES) + 1):
-                h = prefix[j] - prefix[i] * powers[j - i]
+            for k in self.lengths:
+                j = i + k
+                if j > n:
+                    break
+                h = prefix[j] - prefix[i] * powers[k]
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 at = np.where(self.hashes[at] == h, at, len(self.hashes))
                 if (at < len(self.hashes)).any():
@@ -128,6 +129,62 @@ class Lattice:
         with np.errstate(invalid="ignore"):
             return np.stack([self.forward(words, arcs, k)[-1] + self.end[k] for k in range(len(self.lp))], axis=1)
 
+    def starting(self, data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The piece of each length that starts at each place from lo to hi, or the number of all pieces where there is none."""
+        out, h, none = np.full((hi - lo, len(self.lengths)), len(self.hashes), np.int64), np.zeros(hi - lo, np.uint64), len(self.hashes)
+        column = 0
+        for k in range(1, min(self.lengths[-1], len(data) - lo) + 1):
+            n = min(hi, len(data) - k + 1) - lo  # places from which k bytes are left
+            h = h[:n] * _MUL + data[lo + k - 1 : lo + k - 1 + n] + np.uint64(1)
+            if self.lengths[column] == k:
+                at = np.minimum(np.searchsorted(self.hashes, h), none - 1)
+                out[:n, column] = np.where(self.hashes[at] == h, at, none)
+                column += 1
+                if column == len(self.lengths):
+                    break
+        return out
+
+    def long_word(self, word: bytes) -> np.ndarray:
+        """The log probability of one word of any length by each model; a ring of as many places as the longest piece is kept."""
+        data, steps, ring = np.frombuffer(b" " + word, np.uint8).astype(np.uint64), np.asarray(self.lengths), self.lengths[-1] + 1
+        alpha = np.full((ring, len(self.lp)), -np.inf)
+        alpha[0] = 0
+        with np.errstate(invalid="ignore"):
+            for lo in range(0, len(data), STRETCH):
+                hi = min(len(data), lo + STRETCH)
+                ids = self.starting(data, lo, hi)
+                for i, own in zip(range(lo, hi), ids):
+                    here = alpha[i % ring].copy()
+                    alpha[i % ring] = -np.inf
+                    found = np.flatnonzero(own < len(self.hashes))
+                    to = (i + steps[found]) % ring
+                    alpha[to] = np.logaddexp(alpha[to], here + self.lp[:, own[found]].T)
+        return alpha[len(data) % ring] + self.end
+
+    def long_expected(self, word: bytes, model: int, into: np.ndarray) -> None:
+        """expected() for one word of any length: two numbers are kept for each place, arcs for a stretch."""
+        data, steps, lp = np.frombuffer(b" " + word, np.uint8).astype(np.uint64), np.asarray(self.lengths), self.lp[model]
+        n, none = len(data), len(self.hashes)
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0], beta[n] = 0, 0
+        stretches = [(lo, min(n, lo + STRETCH)) for lo in range(0, n, STRETCH)]
+        with np.errstate(invalid="ignore", over="ignore"):
+            for lo, hi in stretches:
+                for i, own in zip(range(lo, hi), self.starting(data, lo, hi)):
+                    found = np.flatnonzero(own < none)
+                    alpha[i + steps[found]] = np.logaddexp(alpha[i + steps[found]], alpha[i] + lp[own[found]])
+            if not np.isfinite(alpha[n]):
+                return  # no segmentation, so no piece is used
+            for lo, hi in reversed(stretches):
+                ids = self.starting(data, lo, hi)
+                for i in range(hi - 1, lo - 1, -1):
+                    found = np.flatnonzero(ids[i - lo] < none)
+                    if len(found):
+                        beta[i] = np.logaddexp.reduce(beta[i + steps[found]] + lp[ids[i - lo][found]])
+                where, which = np.nonzero(ids < none)
+                used = ids[where, which]
+                into += np.bincount(used, np.exp(alpha[lo + where] + lp[used] + beta[lo + where + steps[which]] - alpha[n]), len(into))
+
     def expected(self, words: np.ndarray, model: int, into: np.ndarray) -> None:
         """Adds each piece's expected uses."""
         with np.errstate(invalid="ignore", over="ignore"):
@@ -144,9 +201,9 @@ class Lattice:
 
 
 def by_length(words: list[bytes], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, byte rows with the leading space) of equally long words."""
+    """(positions, byte rows with the leading space) of equally long words of at most LONG_BYTES."""
     sizes = np.asarray([len(w) for w in words])
-    for n in np.unique(sizes).tolist():
+    for n in np.unique(sizes[sizes <= LONG_BYTES]).tolist():
         at = np.flatnonzero(sizes == n)
         step = max(1, min(most, 400_000 // (n + 1)))
         for lo in range(0, len(at), step):
@@ -207,9 +264,9 @@ def fitted_pieces(words: DataFrame, n_models: int, path: str, rounds: int = ROUN
     """Piece scores of each model after some rounds over its distinct training words; what comes to the driver is a row for each model and piece of the vocabulary."""
     lp, end = initial(path)
     lp, end = np.tile(lp, (n_models, 1)), np.full(n_models, end)
-    _, starts, _ = pieces(path)
+    _, starts, _, _ = pieces(path)
     names = [f"c{k}" for k in range(n_models)]
-    known = words.filter((F.col("c") > 0) & (F.length("word") <= FIT_BYTES)).select("word", *names)
+    known = words.filter(F.col("c") > 0).select("word", *names)
     for _ in range(rounds):
         sent = words.sparkSession.sparkContext.broadcast((lp, end))
 
@@ -221,6 +278,9 @@ def fitted_pieces(words: DataFrame, n_models: int, path: str, rounds: int = ROUN
                 n[k] += len(waiting[k])
                 for _, rows in by_length(waiting[k]):
                     lattice.expected(rows, k, uses[k])
+                for word in waiting[k]:
+                    if len(word) > LONG_BYTES:
+                        lattice.long_expected(word, k, uses[k])
                 waiting[k].clear()
 
             for batch in batches:
@@ -259,6 +319,9 @@ def scored_words(words: DataFrame, n_models: int, path: str, lp: np.ndarray, end
             sub = np.empty((len(got), n_models))
             for at, rows in by_length(got):
                 sub[at] = lattice.log_probability(rows)
+            for k, word in enumerate(got):
+                if len(word) > LONG_BYTES:
+                    sub[k] = lattice.long_word(word)
             s = word_scores(sub, np.asarray(batch.column(n_models + 1), np.float64), [np.asarray(batch.column(k + 1), np.float64) for k in range(n_models)], stats)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(n_models + 1), batch.column(n_models + 2), pa.array(list(s), pa.list_(pa.float64()))], names=["word", "c", "total", "s"])
 
@@ -286,6 +349,10 @@ def word_scores(sub: np.ndarray, c: np.ndarray, by: list[np.ndarray], stats: dic
 def score_documents(docs: DataFrame, languages: int = LANGUAGES, vocabulary: str | None = None, sent_words: int = SENT_WORDS, prefix: str = "lm_") -> DataFrame:
     """One row for each row of docs(doc_id, lang, text): doc_id and <prefix>held_out, n_tokens, n_known, train_tokens, base_score, score.
 
+    The lattice's share: a word's score is its own count, less a discount, plus that discount's share of what the word's
+    lattice gives, which is all that a word has that training texts lack. Rows that repeat are scored each; an empty table
+    stays empty; no other column of docs is read.
+
     Null texts are empty: the end alone. A null doc_id counts as the empty text for the split; a null lang belongs to the
     model of all other languages. Without training texts every word is left to the pieces.
     """

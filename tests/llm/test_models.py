@@ -159,7 +159,7 @@ def test_hnsw_hard_rows(spark):
 def test_lattice_sums_all_segmentations():
     path = lattice_lm.default_vocabulary()
     lp, end = lattice_lm.initial(path)
-    hashes, starts, _ = lattice_lm.pieces(path)
+    hashes, starts, _, _ = lattice_lm.pieces(path)
     at = {int(h): k for k, h in enumerate(hashes)}
     other, other_end = lattice_lm.scores_of(np.linspace(1, 2, len(lp)), starts, 3.0)
     lattice = lattice_lm.Lattice(path, np.stack([other, lp]), np.asarray([other_end, end]))
@@ -182,6 +182,24 @@ def test_lattice_sums_all_segmentations():
     assert (uses * np.asarray([1]))[starts].sum() == pytest.approx(1)
 
 
+def test_lattice_of_long_words(monkeypatch):
+    """Stretch by stretch as all at once, with pieces of every length."""
+    path = lattice_lm.default_vocabulary()
+    lp, end = lattice_lm.initial(path)
+    lattice = lattice_lm.Lattice(path, np.stack([lp, lp[::-1] - 1]), np.asarray([end, end]))
+    assert lattice.lengths[-1] > 60
+    monkeypatch.setattr(lattice_lm, "STRETCH", 7)
+    for word in (b"responsibilities" * 5, b"-" * 90 + b"abc", "日本語".encode() * 20, b"x", b"responsibilities"):
+        (_, rows), *_ = lattice_lm.by_length([word])
+        assert lattice.long_word(word) == pytest.approx(lattice.log_probability(rows)[0])
+        many, one = np.zeros(len(lp)), np.zeros(len(lp))
+        lattice.expected(rows, 0, many)
+        lattice.long_expected(word, 0, one)
+        assert one == pytest.approx(many)
+    assert not list(lattice_lm.by_length([b"x" * 300]))
+    assert np.isfinite(lattice.long_word(bytes(range(33, 64)) * 4000)).all()
+
+
 def test_lattice_query(spark):
     import zlib
 
