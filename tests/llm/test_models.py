@@ -368,3 +368,91 @@ def test_toxicity_few_labels(spark):
         if n == 10:
             assert thresholds == {"*": 0.5}
             assert toxicity.scored(frame, model, thresholds).filter("tox_rejected != (tox_score >= 0.5)").count() == 0
+
+
+def test_toxicity_forward_brute(spark):
+    """Scores and verdicts straight from the definition: windows over the padded text, maxima, one logistic layer."""
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 25))) + (" vile!" if i % 5 == 0 else "") for i in range(400)]
+    frame = spark.createDataFrame([*((i, t, "en" if i % 3 else None, "s", 0) for i, t in enumerate(texts)), (1000, None, "zz", "s", 0)], DOCS)
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model, thresholds = toxicity.trained(frame, known, steps=200)
+    words = toxicity.Words()
+
+    def score(text):
+        ids = words(text)
+        e = [model.embedding[a] + model.embedding[b] for a, b in ids]
+        z = model.bias
+        zero, at = np.zeros(toxicity.DIM), 0
+        for w, f, b in zip(toxicity.WIDTHS, model.filters, model.biases):
+            padded = [*e, *[zero] * max(toxicity.WIDTHS)]
+            tops = np.max([sum(padded[k + j] @ f[j * toxicity.DIM : (j + 1) * toxicity.DIM] for j in range(w)) for k in range(len(e) + 1)], axis=0)
+            z += np.maximum(tops + b, 0) @ model.weights[at : at + toxicity.FILTERS]
+            at += toxicity.FILTERS
+        return 1 / (1 + math.exp(-(model.scale * z + model.shift)))
+
+    for r in toxicity.scored(frame, model, thresholds).collect():
+        want = score(r["text"])
+        assert r["tox_score"] == pytest.approx(want, abs=1e-4)
+        limit = thresholds.get(r["lang"], thresholds["*"])
+        assert abs(want - limit) < 1e-3 or r["tox_rejected"] == (want >= limit)
+    assert toxicity.keep(frame.selectExpr("*", "1 AS score", "2 AS rejected", "3 AS step", "4 AS n"), known).columns == [*frame.columns, "score", "rejected", "step", "n"]
+
+
+def test_kneser_ney_query_brute(spark):
+    """op5 on its table: which rows are fitted and which set thresholds, perplexities and verdicts, from the definition."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r["doc_id"]: r for r in docs.collect()}
+    trusted = {r["doc_id"] for r in kneser_ney.trusted_ids(labels).collect()}
+    part = {r[0]: r[1] for r in docs.selectExpr("doc_id", "pmod(xxhash64('threshold', doc_id), 3)").collect()}
+    fit = [text[i]["text"] or "" for i in trusted if part[i]]
+    counts = brute_kn(fit, [[0.5, 1.0, 1.5]] * 3)[1]
+    p, _ = brute_kn(fit, [kneser_ney.discounts(spark.createDataFrame([(n,) for n, k in c.items() for _ in range(k)], "n long")) for c in counts])
+    got = {r["doc_id"]: r for r in kneser_ney.op5_kneser_ney(spark, SF).collect()}
+    held = sorted((got[i]["perplexity"], text[i]["lang"]) for i in trusted if not part[i])
+    for i in list(text)[:40]:
+        w = ["<s>", "<s>", *(text[i]["text"] or "").lower().split(), "</s>"]
+        assert len(w) < 4 or len(w) > 300 or math.log(got[i]["perplexity"]) == pytest.approx(-sum(math.log(p(*x)) for x in zip(w, w[1:], w[2:])) / (len(w) - 2), rel=1e-3)
+    assert len(held) < 50  # so every language has the quantile of all, the least value that 99 of 100 don't exceed
+    limit = [x for x, _ in held][math.ceil(0.99 * len(held)) - 1]
+    assert {r["threshold"] for r in got.values()} == {limit}
+    assert {i: r["kept"] for i, r in got.items()} == {i: r["perplexity"] <= limit or r["n_tokens"] == 1 for i, r in got.items()}
+    assert not all(r["kept"] for r in got.values())
+
+
+def test_lattice_mixture_is_a_probability(spark):
+    """Scores of a text are the sum over languages of prior times the words' probabilities, by the definition on a tiny table."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("aa bb aa", "x"), ("bb cc", "x"), ("dd dd ee", "y"), ("aa ff", None), ("gg aa", "x"), ("", "y"), ("dd", "y"), ("aa bb", "x")])]
+    import zlib
+
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    got = {r["doc_id"]: r["lm_score"] for r in lattice_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    langs = [k for k, _ in sorted(Counter(lang for _, _, lang in train if lang).items(), key=lambda x: (-x[1], x[0]))]
+    place = {k: i for i, k in enumerate(langs)}
+    models = len(langs) + 1
+    by = [Counter() for _ in range(models)]
+    ends = Counter()
+    for _, t, lang in train:
+        by[place.get(lang, models - 1)].update(t.encode().split())
+        ends[place.get(lang, models - 1)] += 1
+    every = sum(by, Counter())
+    n, texts = sum(every.values()), len(train)
+    once, twice = (sum(v == k for v in every.values()) for k in (1, 2))
+    stats = {"discount": min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.75, "n_words": n, "n_by": [sum(c.values()) for c in by], "kinds_by": [len(c) for c in by], "p_end": (texts + 1) / (n + texts + 2)}
+    words = spark.createDataFrame([(w, *(c[w] for c in by), every[w]) for w in every], "word binary, " + ", ".join(f"c{k} long" for k in range(models)) + ", c long")
+    path = lattice_lm.default_vocabulary()
+    lattice = lattice_lm.Lattice(path, *lattice_lm.fitted_pieces(words, models, path))
+
+    def score(t):
+        total = 0.0
+        for k in range(models):
+            z = (ends[k] + 1) / (texts + models)
+            for w in t.encode().split():
+                sub = lattice.log_probability(next(lattice_lm.by_length([w]))[1])
+                z *= math.exp(lattice_lm.word_scores(sub, np.asarray([every[w]], float), [np.asarray([c[w]], float) for c in by], stats)[0, k])
+            total += z
+        return math.log10(total * stats["p_end"])
+
+    assert got == pytest.approx({i: score(t) for i, t, _ in rows}, rel=1e-6)

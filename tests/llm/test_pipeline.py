@@ -29,3 +29,37 @@ def test_stages(spark, tmp_path):
             pieces = Counter(r["doc_id"] for r in after if r["piece"] == 0)
             assert pieces == Counter(r["doc_id"] for r in before) and all(len(r["ids"]) == 4 * r["length"] for r in after)
     assert corpus_pipeline.run(spark, SF).count() == len(after)
+
+
+HARD = [
+    (None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", None, 0), (3, "word " * 30_000, "fr", "a", 1), (3, "word " * 30_000, "fr", "a", 1),
+    (-4, "\u65e5\u672c " * 3, "zz", "b", 2), (5, "a<|endoftext|>b", None, "", 3),
+    *((100 + i, " ".join(f"w{i % 7}x{k}" for k in range(80)), "en", "a" if i % 2 else None, i) for i in range(60)),
+]
+
+
+def test_hard_rows_through_the_pipeline(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeats, further columns with clashing names, and no rows at all."""
+    extra = "1 AS n, 2 AS copies, 3 AS row, 4 AS text_2, 5 AS score, 6 AS bin, 7 AS offset, 8 AS `key`"
+    frame = spark.createDataFrame(HARD, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *extra.split(", "))
+    for name, docs in (("hard", frame), ("none", frame.limit(0))):
+        columns = docs.columns
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, docs, SF).write.parquet(str(tmp_path / name / stage))
+            after = spark.read.parquet(str(tmp_path / name / stage))
+            if k < 4:
+                assert after.columns == columns
+                rows = Counter(map(str, docs.collect()))
+                assert all(r in rows for r in map(str, after.collect()))
+            before, docs = docs, after
+        pieces = Counter(r["doc_id"] for r in docs.collect() if r["piece"] == 0)
+        assert pieces == Counter(r["doc_id"] for r in before.collect())
+
+
+def test_two_runs_at_once(spark):
+    """Runs in one process don't share tables: stages of two runs in turn give what each gives alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    f = dict(corpus_pipeline.STAGES)["jaccard_join"]
+    first = f(spark, docs, SF)
+    second = f(spark, docs.filter("doc_id < 50"), SF)
+    assert second.count() <= 50 < first.count() <= docs.count()
