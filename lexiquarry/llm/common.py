@@ -161,8 +161,12 @@ def bounded_sample(docs: DataFrame, ids: DataFrame, salt: str, rows: int, size:
     Groups take turns, so a small one isn't crowded out. Texts of any length count alike; each group has one at least. What
     comes out is at most `rows` rows.
     """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id"))
-    first = cut(ids.withColumn("place", place).filter(F.col("place") <= min(rows, each or rows)).orderBy("place", group).limit(rows))
+    order, most = (F.xxhash64(F.lit(salt), "doc_id"), "doc_id"), min(rows, each or rows)
+    # a group's ids are dealt over parts first, so that no task ranks all of a large group
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(32))
+    near = ids.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))).filter(F.col("place") <= most)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    first = cut(near.withColumn("place", place).filter(F.col("place") <= most).orderBy("place", group).limit(rows).drop("part"))
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(first), "doc_id").groupBy("doc_id", group, "place").agg(F.sum("n").alias("n"))
     so_far = sizes.withColumn("so_far", F.sum("n").over(Window.partitionBy(group).orderBy("place")))
     return cut(so_far.filter((F.col("so_far") <= size) | (F.col("so_far") == F.col("n"))).select("doc_id", group))
