@@ -161,8 +161,11 @@ def test_embedded_says_what_is_wrong(spark):
     got = {r["k"]: r for r in books.embedded(pages, "k", "X").withColumn("value", F.to_json("value")).collect()}
     assert got[1]["value"] == '{"a":1}' and got[1]["problem"] is None
     assert all(got[k]["value"] is None and got[k]["problem"] for k in (2, 3, 4, 5))
-    with pytest.raises(Exception, match="nothing is assigned to X"):
-        books.embedded_or_fail(pages, "k", "X").collect()
+    # a page at a time: of several bad ones, any may be the first to fail
+    for k, problem in ((2, "nothing is assigned to X"), (3, "has no end"), (4, "nothing is assigned to X"), (5, "isn't JSON")):
+        with pytest.raises(Exception, match=problem):
+            books.embedded_or_fail(pages.filter(F.col("k") == k), "k", "X").collect()
+    assert books.embedded_or_fail(pages.filter("k = 1"), "k", "X").count() == 1
 
 
 def test_zipped(spark, tmp_path):
