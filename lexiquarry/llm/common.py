@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -37,18 +38,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexiquarry-{name}-{uuid.uuid4().hex}"
 
 
-_watched: list[list[str]] = []
+#: The open lists of this thread's (or task's) stashes(): runs in other threads don't see them.
+_watched: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("lexiquarry_watched", default=())
 
 
 @contextlib.contextmanager
 def stashes() -> Iterator[list[str]]:
-    """The paths of the tables written meanwhile, for a caller who knows when they are no longer read. Nothing else deletes them."""
+    """The paths of the tables that this thread writes meanwhile, for a caller who knows when they are no longer read. Nothing else deletes them."""
     made: list[str] = []
-    _watched.append(made)
+    before = _watched.get()
+    _watched.set((*before, made))
     try:
         yield made
     finally:
-        _watched[:] = [w for w in _watched if w is not made]
+        _watched.set(before)
 
 
 @contextlib.contextmanager
@@ -64,7 +67,7 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield spare
     gone = [p for p in made if p not in spared]
     remove(spark, gone)
-    for outer in _watched:
+    for outer in _watched.get():
         outer[:] = [p for p in outer if p not in gone]
 
 
@@ -84,7 +87,7 @@ def _noted(df: DataFrame, path: str) -> DataFrame:
 
 def _path(spark: SparkSession, name: str) -> str:
     path = scratch(spark, name)
-    for made in _watched:
+    for made in _watched.get():
         made.append(path)
     return path
 
@@ -150,6 +153,12 @@ def attached(table: DataFrame, narrow: DataFrame, row: str, into: str) -> DataFr
     return out.withColumn(into, F.get(into + "_rows", place)[into]).drop(into + "_rows", part)
 
 
+def finite(column: str) -> Column:
+    """Not null, and no component null, infinite or not a number."""
+    v = F.col(column)
+    return F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """CRC-32 of an id's decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
