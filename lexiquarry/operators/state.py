@@ -59,16 +59,26 @@ def since_removal(events: DataFrame, removed: DataFrame, user: list[str]) -> Dat
     return both.filter(F.col("removed").isNull() | (_when() > F.col("removed"))).select(*events.columns)
 
 
+def import_title(title: Column) -> Column:
+    """Trimmed; what is missing, empty or blank is "Imported book"."""
+    return text.filled(text.trimmed(title), F.lit("Imported book"))
+
+
+def import_source(source: Column) -> Column:
+    return text.filled(source, F.lit("local import"))
+
+
 def import_id(source: Column, title: Column, chapters: Column) -> Column:
-    """An import's id from what it holds; chapters is its JSON without spaces."""
-    held = F.concat_ws("\n", *(F.coalesce(c, F.lit("")) for c in (source, title, chapters)))
+    """An import's id from what it holds, its source and title with their defaults; chapters is its JSON without spaces."""
+    held = F.concat_ws("\n", import_source(source), import_title(title), F.coalesce(chapters, F.lit("")))
     return F.concat(F.lit("u-"), hashing.base36(hashing.fnv1a(held)))
 
 
 def with_import_key(imports: DataFrame) -> DataFrame:
-    """imports(id, source, title, chapters, ...) with key; a null or empty id is made of the content, so the same import twice has one key."""
+    """imports(id, source, title, chapters, ...) with key, and defaults for source and title; a null or empty id is made of the content, so the same import twice has one key."""
     made = text.filled(F.col("id"), import_id(F.col("source"), F.col("title"), F.to_json("chapters")))
-    return imports.withColumn("id", made).withColumn("key", F.concat(F.lit("import/"), "id"))
+    rows = imports.withColumns({"id": made, "source": import_source(F.col("source")), "title": import_title(F.col("title"))})
+    return rows.withColumn("key", F.concat(F.lit("import/"), "id"))
 
 
 def replaced(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

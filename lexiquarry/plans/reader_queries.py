@@ -29,14 +29,20 @@ def json_import(spark, d):
     item = F.when(k == 0, F.get_json_object(turn, "$.x")).otherwise(turn)
     item = F.when(k == 0, F.regexp_replace(F.to_json(F.array(item)), r"^\[|\]\z", "")).otherwise(item)
     files = rows.withColumn("item", item).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "item"))), lambda x: x["item"]), ",").alias("items"))
-    files = files.select("conv_id", F.concat(F.lit('{"title":"T","chapters":{"1":['), "items", F.lit("]}}")).alias("content"))
-    return books.json_import(files, "conv_id").select("conv_id", "title", "chapter", "label", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+    # a book beside the chapters, titles and names at the top, a blank title, none at all, and chapters under a book
+    heads = ('{"title":"Top","book":{"title":"Inner"},"chapterLabels":{"1":"One"},"chapters":{"1":[', '{"title":"","name":"Flat","chapters":{"1":[', '{"title":" \\t","chapters":{"1":[', '{"chapters":{"1":[', '{"title":"Top","book":{"name":"Named","chapterLabels":{"1":"Own"}},"chapters":{"1":[')
+    files = files.select("conv_id", F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("conv_id") % 5 + 1).cast("int")), "items", F.lit("]}}")).alias("content"), F.concat(F.lit("File "), "conv_id", F.lit(".JSON")).alias("file"))
+    return books.json_import(files, "conv_id", name="file").select("conv_id", "title", "chapter", "chapter_label", "label", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 def import_keys(spark, d):
-    """Keys of imports made of their content; every third has an id of its own."""
-    rows = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("own"), "conv_id")).alias("id"), F.lit("a.json").alias("source"), F.concat(F.lit("Title "), F.col("conv_id") % 5).alias("title"), F.create_map(F.lit("1"), F.array(F.struct(F.lit("1").alias("label"), F.concat(F.lit("x"), F.col("conv_id") % 10).alias("text")))).alias("chapters"))
-    return state.with_import_key(rows).select("conv_id", "key")
+    """Keys of imports made of their content: some with an id of their own, some without a title, a source or both, some with blanks around the title."""
+    k = F.col("conv_id") * 100 + F.col("turn")
+    title = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, " ").when(k % 7 == 2, F.concat(F.lit("  Title "), k % 5, F.lit("\t"))).otherwise(F.concat(F.lit("Title "), k % 5))
+    source = F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, "").otherwise("a.json")
+    chapters = F.create_map(F.lit("1"), F.array(F.struct(F.lit("1").alias("label"), F.concat(F.lit("x"), F.col("conv_id") % 10, F.lit(" "), F.md5("text")).alias("text"))))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(k % 3 == 0, F.concat(F.lit("own"), "conv_id")).alias("id"), source.alias("source"), title.alias("title"), chapters.alias("chapters"))
+    return state.with_import_key(rows).select("conv_id", "turn", "key", "title", "source")
 
 
 def _marks(spark, d):
@@ -197,8 +203,12 @@ _CONTENT = "p AS (SELECT 'c/' || CAST(c_custkey AS VARCHAR) AS key, c_custkey %
 ORACLES = {
     "dense_index_nulls": "SELECT c_custkey, n_name, row_number() OVER (ORDER BY n_name NULLS FIRST, c_custkey) - 1 AS work_index FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 3 <> 0",
     "json_import": r"""WITH s AS (SELECT conv_id, turn % 4 AS k, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, CASE turn % 4 WHEN 0 THEN ' ' || text WHEN 1 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN 2 THEN '7' END AS t FROM conversations)
-      SELECT conv_id, 'T' AS title, '1' AS chapter, CASE k WHEN 0 THEN CAST(place AS VARCHAR) WHEN 1 THEN 'v' || CAST(turn AS VARCHAR) ELSE 'L' END AS label, md5(t) AS digest FROM s WHERE t IS NOT NULL AND (k = 0 OR t <> '')""",
-    "import_keys": "WITH r AS (SELECT conv_id, 'a.json' || chr(10) || 'Title ' || CAST(conv_id % 5 AS VARCHAR) || chr(10) || '{\"1\":[{\"label\":\"1\",\"text\":\"x' || CAST(conv_id % 10 AS VARCHAR) || '\"}]}' AS s FROM conversations WHERE turn = 0) SELECT conv_id, 'import/' || CASE WHEN conv_id % 3 = 0 THEN 'own' || CAST(conv_id AS VARCHAR) ELSE 'u-' || lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ord(substr(s, i, 1)) AS BIGINT) FOR i IN range(1, length(s) + 1)]), lambda h, c: (xor(h, c) * 16777619) & 4294967295), 36)) END AS key FROM r",
+      SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'Inner' WHEN 1 THEN 'Flat' WHEN 2 THEN 'Imported book' WHEN 3 THEN 'File ' || CAST(conv_id AS VARCHAR) ELSE 'Named' END AS title, '1' AS chapter,
+        CASE conv_id % 5 WHEN 0 THEN 'One' WHEN 4 THEN 'Own' END AS chapter_label, CASE k WHEN 0 THEN CAST(place AS VARCHAR) WHEN 1 THEN 'v' || CAST(turn AS VARCHAR) ELSE 'L' END AS label, md5(t) AS digest FROM s WHERE t IS NOT NULL AND (k = 0 OR t <> '')""",
+    "import_keys": """WITH k AS (SELECT *, conv_id * 100 + turn AS k FROM conversations),
+      t AS (SELECT *, CASE WHEN k % 7 < 2 THEN 'Imported book' ELSE 'Title ' || CAST(k % 5 AS VARCHAR) END AS title, CASE WHEN k % 4 < 2 THEN 'local import' ELSE 'a.json' END AS source FROM k),
+      r AS (SELECT *, source || chr(10) || title || chr(10) || '{"1":[{"label":"1","text":"x' || CAST(conv_id % 10 AS VARCHAR) || ' ' || md5(text) || '"}]}' AS s FROM t)
+      SELECT conv_id, turn, title, source, 'import/' || CASE WHEN k % 3 = 0 THEN 'own' || CAST(conv_id AS VARCHAR) ELSE 'u-' || lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(ord(substr(s, i, 1)) AS BIGINT) FOR i IN range(1, length(s) + 1)]), lambda h, c: (xor(h, c) * 16777619) & 4294967295), 36)) END AS key FROM r""",
     "personal_items": f"WITH {_MARKS}, a AS (SELECT user_id, work, chapter, 'note' AS type, text FROM notes UNION ALL SELECT user_id, work, chapter, 'bookmark', NULL FROM marks) SELECT user_id, work, chapter, type, text, p_name AS work_title, p_brand AS work_edition FROM a JOIN part ON work = 'w' || CAST(p_partkey AS VARCHAR) WHERE chapter = '1' AND work <> 'w5'",
     "dashboard": f"WITH {_MARKS}, a AS (SELECT user_id, 'notes' AS kind FROM notes UNION ALL SELECT user_id, 'bookmarks' FROM marks UNION ALL SELECT user_id, 'imports' FROM g WHERE kind = 'error'), u AS (SELECT DISTINCT user_id FROM a) SELECT u.user_id, k.kind, count(a.user_id) AS n FROM u CROSS JOIN (SELECT unnest(['notes', 'bookmarks', 'imports']) AS kind) k LEFT JOIN a ON a.user_id = u.user_id AND a.kind = k.kind GROUP BY ALL",
     "collection_saved": 'WITH r AS (SELECT o_custkey % 50 AS "user", o_orderkey AS id, o_orderstatus AS title, o_orderpriority AS description, o_orderkey AS created_at FROM orders), c AS (SELECT * FROM r WHERE id % 7 <> 0), n AS (SELECT "user", id, CASE WHEN id % 2 = 0 THEN \'said\' END AS description FROM r WHERE id % 3 = 0) SELECT * FROM c WHERE id % 3 <> 0 UNION ALL SELECT n."user", n.id, \'again\', coalesce(n.description, c.description), coalesce(c.created_at, -1) FROM n LEFT JOIN c ON c."user" = n."user" AND c.id = n.id UNION ALL SELECT "user", id + 100000000, \'again\', description, -1 FROM n WHERE id % 9 = 0',

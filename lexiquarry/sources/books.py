@@ -53,13 +53,24 @@ def normalised_segments(column: str):
     return F.filter(rows, lambda s: s["plain"] | (F.coalesce(s["text"], F.lit("")) != ""))
 
 
-def json_import(files: DataFrame, key: str, column: str = "content") -> DataFrame:
-    """(key, title, chapter, label, text) of imported JSON, with the chapters at the top or under a book."""
-    parsed = files.select(key, F.try_parse_json(column).alias("j"))
-    title = F.coalesce(F.try_variant_get("j", "$.title", "string"), F.try_variant_get("j", "$.book.title", "string"), F.try_variant_get("j", "$.book.name", "string"))
-    chapters = F.coalesce(F.try_variant_get("j", "$.chapters", "map<string,variant>"), F.try_variant_get("j", "$.book.chapters", "map<string,variant>"))
-    rows = parsed.select(key, title.alias("title"), F.explode(chapters).alias("chapter", "v"))
-    return rows.withColumn("s", F.explode(normalised_segments("v"))).select(key, "title", "chapter", "s.label", "s.text")
+def json_import(files: DataFrame, key: str, column: str = "content", name: str | None = None) -> DataFrame:
+    """(key, title, chapter, chapter_label, label, text) of imported JSON; name is a column with the file's name ("import.json" where none is given).
+
+    Where a book and chapters are both given, the book's title counts, then its name; else the top's title, then its
+    name. Where these are empty the file's name without its ending does. A title is trimmed, and a blank one is
+    "Imported book". Labels of chapters are the top's, else the book's. As an extension, chapters may lie under the book.
+    """
+    file = text.filled(F.col(name) if name else F.lit(None).cast("string"), F.lit("import.json"))
+    parsed = files.select(key, F.regexp_replace(file, r"(?i)\.json\z", "").alias("file"), F.try_parse_json(column).alias("j"))
+    get = lambda path, kind="string": F.try_variant_get("j", path, kind)
+    at_top, under = get("$.chapters", "map<string,variant>"), get("$.book.chapters", "map<string,variant>")
+    of_book, of_top = text.filled(get("$.book.title"), get("$.book.name")), text.filled(get("$.title"), get("$.name"))
+    nested = get("$.book", "variant").isNotNull() & at_top.isNotNull()
+    title = text.trimmed(text.filled(F.when(nested, of_book).when(at_top.isNotNull(), of_top).otherwise(F.coalesce(of_book, of_top)), "file"))
+    labels = F.coalesce(get("$.chapterLabels", "map<string,string>"), get("$.book.chapterLabels", "map<string,string>"))
+    rows = parsed.select(key, text.filled(title, F.lit("Imported book")).alias("title"), labels.alias("labels"), F.explode(F.coalesce(at_top, under)).alias("chapter", "v"))
+    rows = rows.withColumn("s", F.explode(normalised_segments("v")))
+    return rows.select(key, "title", "chapter", F.try_element_at("labels", F.col("chapter")).alias("chapter_label"), "s.label", "s.text")
 
 
 def export_txt(segments: DataFrame, key: str, chapter: str, order: list[str], header: str) -> DataFrame:
