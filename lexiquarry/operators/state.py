@@ -59,6 +59,31 @@ def since_removal(events: DataFrame, removed: DataFrame, user: list[str]) -> Dat
     return both.filter(F.col("removed").isNull() | (_when() > F.col("removed"))).select(*events.columns)
 
 
+#: Kinds of events of a reader's whole state; those of TAKEN_ALONG go with the removal of an imported work.
+TAKEN_ALONG = ("bookmark", "highlight", "note", "position", "visit")
+KEPT = ("collection", "plan")
+
+
+def entries(events: DataFrame, user: str = "user_id") -> DataFrame:
+    """(user, kind, work, chapter, passage, value, ts) of each reader's state: what is on after all events(user, kind, work, chapter, passage, value, ts, event_id).
+
+    Bookmarks and highlights are toggled (a highlight without a colour is gold). Notes, positions, collections and plans
+    hold the last value; a blank note, collection or plan is deleted, and a position is its work's, a collection's or
+    plan's id is the work. A visit's time is its last. The removal of a work that was imported takes its entries along,
+    not so collections and plans. Null parts of a key are empty. Events of other kinds do nothing.
+    """
+    blank = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("work", "chapter", "passage")}
+    by_work = F.col("kind").isin("position", *KEPT)
+    rows = events.withColumns(blank).withColumns({c: F.when(by_work, F.lit("")).otherwise(F.col(c)) for c in ("chapter", "passage")})
+    left = since_removal(rows.filter(F.col("kind").isin(*TAKEN_ALONG)), removals(rows, [user]), [user])
+    keys = [user, "kind", "work", "chapter", "passage"]
+    last = left.unionByName(rows.filter(F.col("kind").isin(*KEPT))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max_by("value", _when()).alias("value"), F.max("ts").alias("ts"))
+    value = F.when(F.col("kind") == "highlight", text.filled(F.col("value"), F.lit(COLOUR))).when(F.col("kind").isin("bookmark", "visit"), F.lit(None)).otherwise(F.col("value"))
+    toggled = F.col("kind").isin("bookmark", "highlight")
+    on = F.when(toggled, F.col("n") % 2 == 1).when(F.col("kind").isin("note", *KEPT), ~text.is_blank(F.col("value"))).otherwise(True)
+    return last.filter(on).select(*keys, value.alias("value"), "ts")
+
+
 def import_title(title: Column) -> Column:
     """Trimmed; what is missing, empty or blank is "Imported book"."""
     return text.filled(text.trimmed(title), F.lit("Imported book"))
