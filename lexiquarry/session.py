@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,3 +36,13 @@ def build_session(app: str = "lexiquarry", master: str = "local[8]", shuffle_par
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Only on one machine, and only where that is unset, in a temporary folder; elsewhere that is an error."""
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if not said:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        said = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
+    return f"{said.rstrip('/')}/lexiquarry-{name}-{uuid.uuid4().hex}"
