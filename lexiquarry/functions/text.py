@@ -187,7 +187,7 @@ def safe_key(key: Column) -> Column:
 
 def data_url_bytes(url: Column) -> Column:
     """(kind, bytes) of an image data URL; null for others."""
-    pattern = r"^data:(image/[A-Za-z0-9.+-]+);base64,([A-Za-z0-9+/=]+)\z"
+    pattern = r"(?i)^data:(image/[a-z0-9.+-]+);base64,([a-z0-9+/=]+)\z"
     kind = F.regexp_extract(url, pattern, 1)
     return F.when(kind != "", F.struct(kind.alias("kind"), F.unbase64(F.regexp_extract(url, pattern, 2)).alias("bytes")))
 

@@ -27,6 +27,33 @@ def edition_pairs(works: DataFrame, primary: str, key: str = "key", state: str =
     return b.join(a, "identity").filter("key <> other").select("key", "other")
 
 
+def first_related(works: DataFrame, order: str = "work_index", key: str = "key", state: str = "content_state") -> DataFrame:
+    """(primary, secondary): each readable work that has other readable editions, with the first of these by `order`."""
+    some = works.filter((F.col("identity") != "") & (F.col(state) == "local-readable"))
+    place = F.row_number().over(Window.partitionBy("identity").orderBy(order, key))
+    firsts = some.select("identity", F.col(key).alias("_key"), place.alias("_n")).filter("_n <= 2")
+    nth = lambda n, name: firsts.filter(F.col("_n") == n).select("identity", F.col("_key").alias(name))
+    both = some.join(nth(1, "_one"), "identity").join(nth(2, "_two"), "identity")
+    return both.select(F.col(key).alias("primary"), F.when(F.col(key) == F.col("_one"), F.col("_two")).otherwise(F.col("_one")).alias("secondary"))
+
+
+def compared(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Whole comparisons of pairs(primary, secondary): the chapters that both have, passage by passage, with what differs.
+
+    segments: key, chapter, idx, label, text. Out come primary, secondary, chapter, the columns of align(), different, and
+    diff, which is null where the sides are equal or one of them is empty.
+    """
+    side = lambda name: pairs.join(segments.withColumnRenamed("key", name), name)
+    group = ["primary", "secondary", "chapter"]
+    left, right = side("primary"), side("secondary")
+    chapters = left.select(*group).distinct().join(right.select(*group).distinct(), group, "left_semi")
+    rows = align(left.join(chapters, group, "left_semi"), right.join(chapters, group, "left_semi"), group).withColumn("different", differs("primary_text", "secondary_text"))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    shown = F.col("different") & said("primary_text") & said("secondary_text")
+    marked = with_diff(rows.withColumns({"_l": F.when(shown, F.col("primary_text")), "_r": F.when(shown, F.col("secondary_text"))}), "_l", "_r")
+    return marked.withColumn("diff", F.when(shown, F.col("diff"))).drop("_l", "_r")
+
+
 def common_chapters(primary: DataFrame, secondary: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Chapters of the primary that the secondary has too, in the primary's order."""
     return primary.join(secondary.select(*keys).distinct(), keys, "left_semi").orderBy(*order)

@@ -21,6 +21,31 @@ def extracted(catalog_rows: DataFrame, local_keys: DataFrame) -> DataFrame:
     return catalog.dense_index(rows.drop("url1", "url2", "url3", "url4", "is_local"), ["edition_ord", "book_ord", "key"])
 
 
+LEGACY = ("reader_availability", "bundled_json", "local_mirror", "availability", "searchable")
+
+
+def work_records(books: DataFrame, local_keys: DataFrame) -> DataFrame:
+    """The work index of a catalogue's books, a row each, numbered in catalogue order, with the old availability fields kept in legacy_reference.
+
+    books: edition_id, edition_ord, edition_title, collection_label, edition_reader_url, edition_url, id, book_ord, title,
+    name, chapters, verses, reader_url, source_url, and the fields of LEGACY. A book without a title goes by its name and the other
+    way round; only a local one has a path, counts and is searchable. An unsafe key is an error.
+    """
+    local = local_keys.select("key").distinct().withColumn("_local", F.lit(True))
+    keyed = catalog.repacked(books, list(LEGACY)).withColumn("key", text.safe_key(F.concat_ws("/", "edition_id", "id")))
+    said = F.col("legacy_reference.reader_availability")
+    named = F.when(said == "source-only", "source-readable").when(said == "bibliographic-only", "bibliographic")
+    rows = keyed.join(local, "key", "left").withColumn("content_state", catalog.content_state(F.coalesce("_local", F.lit(False)), named))
+    readable = F.col("content_state") == "local-readable"
+    number = lambda c: F.when(readable, F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast("bigint")
+    done = rows.select(
+        "edition_ord", "book_ord", "key", "edition_id", "edition_title", text.filled(F.col("collection_label"), F.col("edition_title")).alias("collection_label"), F.col("id").alias("book_id"),
+        text.filled(F.col("title"), F.col("name")).alias("title"), text.filled(F.col("name"), F.col("title")).alias("name"), "content_state", F.when(readable, F.concat(F.lit("books/"), "key", F.lit(".json"))).alias("reader_path"),
+        catalog.source_url(*(F.col(c) for c in ("reader_url", "source_url", "edition_reader_url", "edition_url"))).alias("source_url"), readable.alias("searchable"), number("chapters").alias("section_count"), number("verses").alias("segment_count"), "legacy_reference",
+    )
+    return catalog.dense_index(done, ["edition_ord", "book_ord", "key"]).drop("edition_ord", "book_ord")
+
+
 def integrated(works: DataFrame, new: DataFrame) -> DataFrame:
     """works with the new ones (same columns without work_index) that it lacks, numbered on from its last index."""
     fresh = new.join(works.select("key"), "key", "left_anti").dropDuplicates(["key"])

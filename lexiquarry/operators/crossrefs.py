@@ -64,3 +64,17 @@ def companions(records: DataFrame, works: DataFrame, primary: str) -> DataFrame:
     """Companion records of one work, with the companion's title where it is known."""
     titles = works.select(F.col("key").alias("companion_work"), F.col("title").alias("companion_title"))
     return records.filter(F.col("primary_work") == primary).join(titles, "companion_work", "left")
+
+
+def passage_links(references: DataFrame, passages: DataFrame, items: DataFrame) -> DataFrame:
+    """All that points at passages(work, chapter, passage, target): (work, chapter, passage, type, source, said).
+
+    references(source, reference) come as type cross-reference, by the target's name as in backlinks(); items(work,
+    chapter, passage, type, source, text) as what they are, keys compared as texts. A null key is an empty one.
+    """
+    keys = ["work", "chapter", "passage"]
+    folded = lambda rows: rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys})
+    at = folded(passages).withColumn("target", text.reference_norm(F.col("target")))
+    incoming = backlinks(references, at.select("target")).join(at, "target").select(*keys, F.lit("cross-reference").alias("type"), "source", F.col("reference").alias("said"))
+    own = folded(items).join(at.select(*keys).distinct(), keys).select(*keys, "type", "source", F.col("text").alias("said"))
+    return incoming.unionByName(own)

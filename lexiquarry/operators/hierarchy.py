@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -224,3 +224,12 @@ def home_counts(works: DataFrame, segments: DataFrame, mapping: DataFrame) -> Da
 def by_title(rows: DataFrame, column: str = "title") -> DataFrame:
     """Rows in the order a reader expects: case and accents come after letters."""
     return rows.orderBy(F.collate(column, "UNICODE"))
+
+
+def browsed(works: DataFrame, groups: DataFrame) -> DataFrame:
+    """The whole library from category to edition to work: a row for each work and category, with the edition's shown title, its works and readable works there, and the work's place in the edition by title, as a reader sorts titles."""
+    rows = categories_of(works, groups)
+    shelf = Window.partitionBy("category_id", "edition_id")
+    place = F.row_number().over(shelf.orderBy(F.collate(F.coalesce("title", F.lit("")), "UNICODE"), "key"))
+    counted = rows.withColumns({"edition": text.friendly_title(F.col("edition_title"), F.col("edition_id")), "records": F.count(F.lit(1)).over(shelf), "readable": F.count_if(_is("content_state", READABLE)).over(shelf), "place": place})
+    return counted.select("category_id", "edition_id", "edition", "records", "readable", "place", "key", "title")

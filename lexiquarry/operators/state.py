@@ -42,10 +42,6 @@ def history(events: DataFrame, user: list[str], reference: list[str], most: int
     return ranked.filter(F.col("place") <= most).select(*user, *reference, F.col("at.ts").alias("ts"), "place")
 
 
-def recent(rows: DataFrame, time: str, tie: list[str], most: int) -> DataFrame:
-    return rows.orderBy(F.desc(time), *tie).limit(most)
-
-
 def removals(events: DataFrame, user: list[str]) -> DataFrame:
     """(user, work, removed): the (ts, event_id) of each work's last removal that found it imported; a removal of what isn't imported does nothing."""
     by = Window.partitionBy(*user, "work").orderBy("ts", "event_id")
@@ -84,6 +80,16 @@ def entries(events: DataFrame, user: str = "user_id") -> DataFrame:
     return last.filter(on).select(*keys, value.alias("value"), "ts")
 
 
+HISTORY_SHOWN = 30
+
+
+def library_lists(entries_: DataFrame, works: DataFrame, user: str = "user_id", shown: int = HISTORY_SHOWN) -> DataFrame:
+    """A reader's lists: entries() of each kind by recency, with place (from 1) and their works' titles; of visits the last `shown`. Entries of unknown works aren't shown."""
+    rows = with_work(entries_, works)
+    place = F.row_number().over(Window.partitionBy(user, "kind").orderBy(F.desc("ts"), "work", "chapter", "passage"))
+    return rows.withColumn("place", place).filter((F.col("kind") != "visit") | (F.col("place") <= shown))
+
+
 def import_title(title: Column) -> Column:
     """Trimmed; what is missing, empty or blank is "Imported book"."""
     return text.filled(text.trimmed(title), F.lit("Imported book"))

@@ -98,3 +98,13 @@ def verdict(found: DataFrame) -> DataFrame:
 def shown(found: DataFrame) -> DataFrame:
     """The first SHOWN violations, in order."""
     return found.orderBy("rule", "subject", "detail").limit(SHOWN)
+
+
+def validated(works: DataFrame, files: DataFrame, segments: DataFrame, mapping: DataFrame, expected: dict[str, int], manifest: DataFrame | None = None) -> DataFrame:
+    """One run over all rules: violations of works, payloads (files: key, content), segments, mapping(work_key), expected numbers of rows by name, and of a manifest(name, n) of segments by work."""
+    local = works.filter(F.col("content_state") == "local-readable").select("key")
+    rules = [*work_rules(works, files.select("key")), *content_rules(files, local), *payload_rules(segments), *mapping_rules(mapping, local)]
+    rules += count_rules(works.sparkSession, {"works": works, "readable": local, "segments": segments, "mapping": mapping}, expected)
+    if manifest is not None:
+        rules += manifest_rules(manifest, segments.groupBy(F.col("work_key").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    return report(rules)

@@ -96,10 +96,13 @@ def manifest(payload_texts: DataFrame, key: str, column: str = "content") -> Dat
     return payload_texts.select(key, F.octet_length(body).alias("bytes"), hashing.sha256(body).alias("sha256")).orderBy(key)
 
 
-def write_sharded(segments: DataFrame, path: str, index: str = "work_index", shards: int = hashing.SHARDS) -> None:
-    """Segments as Parquet, a folder for each shard; rows of a shard are sorted, so that searches skip row groups."""
-    dealt = segments.withColumn("shard", hashing.shard_of(F.col(index), shards))
-    dealt.repartition("shard").sortWithinPartitions("shard", index).write.partitionBy("shard").parquet(path)
+def assets(rows: DataFrame, name: str = "name", url: str = "url") -> DataFrame:
+    """(name, path, mime_type, bytes, sha256, content) of images kept as data URLs: the path has the kind's ending in place of the name's own. What is no image's data URL is an error."""
+    got = rows.select(F.col(name).alias("name"), text.data_url_bytes(F.col(url)).alias("_d"), F.col(url).alias("_url"))
+    bad = F.raise_error(F.concat(F.lit("not an image: "), F.coalesce("name", F.lit("null"))))
+    kind = F.when(F.col("_d").isNotNull(), F.col("_d.kind")).otherwise(bad)
+    path = F.concat(F.lit("assets/"), F.regexp_replace("name", r"\.[^.]+\z", F.concat(F.lit("."), F.regexp_replace(kind, "^image/", ""))))
+    return got.select("name", path.alias("path"), kind.alias("mime_type"), F.octet_length("_d.bytes").alias("bytes"), F.sha2("_d.bytes", 256).alias("sha256"), F.col("_d.bytes").alias("content"))
 
 
 def embedded(pages: DataFrame, key: str, name: str, column: str = "html") -> DataFrame:

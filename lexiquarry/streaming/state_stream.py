@@ -34,10 +34,6 @@ def rate_windows(events: DataFrame, width: str, late: str = "10 minutes", keys:
     return counted.select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def over_limit(windows: DataFrame, limit: int) -> DataFrame:
-    return windows.filter(F.col("n") > limit)
-
-
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     """Visits: events of a user with no longer pause than the gap."""
     rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
