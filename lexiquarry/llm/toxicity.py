@@ -9,6 +9,7 @@ scored where it is by a model whose fit has not seen it, and counted by language
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ from .common import bounded_sample, crc_of_id, cut
 #: Labelled rows for the fit: of each class the first by a hash of doc_id, until there are so many, or so
 #: many bytes of text. Texts of any length count alike; all others calibrate and are scored.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
+#: Labelled ids that are broadcast at most, 16 bytes each.
+KNOWN_SENT = 1_000_000
 #: Parts of the labelled rows, by a hash of the words; each is calibrated on by a model fitted without it.
 CALIBRATION = 4
 #: Logits are counted in steps of one in so many, up to a size.
@@ -248,7 +251,8 @@ def fold(ids: np.ndarray) -> int:
 def counted(docs: DataFrame, by: DataFrame, models: list[Model]) -> list:
     """Rows of docs with a label in by(doc_id, toxic), counted by lang, toxic and step of the logit by the model of the text's part.
 
-    All trainable texts are scored before their labels meet them, so the join moves no text.
+    Up to KNOWN_SENT labelled ids are broadcast and only their texts are scored. With more, all trainable texts are scored
+    before their labels meet them. No text is moved either way, and the counts are the same.
     """
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -268,17 +272,34 @@ def counted(docs: DataFrame, by: DataFrame, models: list[Model]) -> list:
                     part, size = [], 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(out, pa.int32())], names=["doc_id", "lang", "step"])
 
-    rows = docs.filter(F.col("doc_id").isNotNull() & trainable()).select("doc_id", "lang", "text").mapInArrow(place, "doc_id long, lang string, step int")
+    texts = docs.filter(F.col("doc_id").isNotNull() & trainable()).select("doc_id", "lang", "text")
+    if by.count() <= KNOWN_SENT:
+        texts = texts.join(F.broadcast(by.select("doc_id")), "doc_id", "left_semi")
+    rows = texts.mapInArrow(place, "doc_id long, lang string, step int")
     return rows.join(by, "doc_id").groupBy("lang", "toxic", "step").count().collect()
 
 
+def fits(spark: SparkSession, x: list[np.ndarray], y: np.ndarray, steps: int) -> list[Model]:
+    """A model without each part of the sample, then one of all of it: a task each, for the sample is bounded by rows and bytes."""
+    sent = spark.sparkContext.broadcast((x, y))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = sent.value
+        of = np.asarray([fold(d) for d in texts], int)
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                model = fit([d for d, k in zip(texts, of) if k != part], marks[of != part], steps)
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps(model)], pa.binary())], names=["id", "model"])
+
+    made = spark.range(0, CALIBRATION + 1, 1, CALIBRATION + 1).mapInArrow(one, "id long, model binary").collect()
+    return [pickle.loads(r["model"]) for r in sorted(made, key=lambda r: r["id"])]
+
+
 def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> tuple[Model, dict[str | None, float]]:
     """The model and the threshold of each language; the key "*" holds that of all."""
     by = cut(known(labels))
     x, y = sample(docs, by, rows)
-    of = np.asarray([fold(d) for d in x], int)
-    models = [fit([d for d, k in zip(x, of) if k != f], y[of != f], steps) for f in range(CALIBRATION)]
-    model = fit(x, y, steps)
+    *models, model = fits(docs.sparkSession, x, y, steps)
     got = sorted(counted(docs, by, models), key=lambda r: (r["lang"] or "", r["toxic"], r["step"]))
     z, t, n = (np.asarray([f(r) for r in got], np.float64) for f in (lambda r: r["step"] / STEP, lambda r: r["toxic"], lambda r: r["count"]))
     if len(t) and t.min() != t.max():

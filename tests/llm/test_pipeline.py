@@ -1,10 +1,14 @@
 """The stages one after another, each against brute force on what it was given."""
 
+import threading
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 from test_models import brute_links
 
+from lexiquarry.llm import common
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -56,10 +60,39 @@ def test_hard_rows_through_the_pipeline(spark, tmp_path):
         assert pieces == Counter(r["doc_id"] for r in before.collect())
 
 
+def test_tables_of_another_thread_are_left_alone(spark):
+    """A thread's stashes() and passing() neither see nor delete what another thread writes meanwhile."""
+    open_, written, deleted = threading.Event(), threading.Event(), threading.Event()
+    seen = {}
+
+    def first():
+        with common.stashes() as made:
+            common.stash(spark.range(3), "mine")
+            open_.set()
+            assert written.wait(60)
+        seen["made"] = list(made)
+        with common.passing(spark):
+            pass
+        common.remove(spark, made)
+        deleted.set()
+
+    def second():
+        assert open_.wait(60)
+        table = common.stash(spark.range(5), "theirs")
+        written.set()
+        assert deleted.wait(60)
+        seen["rows"] = table.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(first), pool.submit(second)]:
+            done.result()
+    assert len(seen["made"]) == 1 and seen["rows"] == 5
+
+
 def test_two_runs_at_once(spark):
-    """Runs in one process don't share tables: stages of two runs in turn give what each gives alone."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    f = dict(corpus_pipeline.STAGES)["jaccard_join"]
-    first = f(spark, docs, SF)
-    second = f(spark, docs.filter("doc_id < 50"), SF)
-    assert second.count() <= 50 < first.count() <= docs.count()
+    """Whole runs in two threads give what each gives alone."""
+    with ThreadPoolExecutor(2) as pool:
+        together = [done.result() for done in [pool.submit(lambda: Counter(map(str, corpus_pipeline.run(spark, SF).drop("ids").collect()))) for _ in range(2)]]
+    alone = Counter(map(str, corpus_pipeline.run(spark, SF).drop("ids").collect()))
+    pieces = lambda rows: Counter(r.split(", sequence_id")[0] for r in rows.elements())
+    assert pieces(together[0]) == pieces(together[1]) == pieces(alone) != Counter()
