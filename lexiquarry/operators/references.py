@@ -31,21 +31,23 @@ def _spans(locator: Column) -> Column:
     """(lo, hi) of each piece, in order; null where one can't be read."""
     number = lambda piece, k: F.nullif(F.regexp_extract(piece, _PIECE, k), F.lit("")).cast("bigint")
     none = F.struct(F.lit(None).cast("bigint").alias("chapter"), F.lit(True).alias("fine"), F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"))
+    # each piece is read once, then only its numbers are looked at
+    read = lambda piece: F.struct(*(number(piece, k).alias(name) for k, name in ((1, "said"), (2, "at"), (4, "to_chapter"), (5, "to"))), F.regexp_extract(piece, _PIECE, 3).alias("more"), piece.rlike(_PIECE).alias("read"))
 
     def step(acc: Column, piece: Column) -> Column:
-        said, at, more, to_chapter, to = (number(piece, 1), number(piece, 2), F.regexp_extract(piece, _PIECE, 3), number(piece, 4), number(piece, 5))
+        said, at, more, to_chapter, to = (piece[name] for name in ("said", "at", "more", "to_chapter", "to"))
         chapter = F.coalesce(said, acc["chapter"])
         last_chapter = F.coalesce(to_chapter, chapter)
         lo = F.when(chapter.isNull(), at * CHAPTER).otherwise(chapter * CHAPTER + at)
         # a whole chapter up to chapter:verse, whole chapters, or verses
         end = F.when(chapter.isNull() & to_chapter.isNotNull(), to_chapter * CHAPTER + to).when(chapter.isNull(), F.coalesce(to, at + F.when(more == "f", 1).otherwise(0)) * CHAPTER + CHAPTER - 1)
         hi = end.when(to.isNotNull(), last_chapter * CHAPTER + to).when(more == "ff", chapter * CHAPTER + CHAPTER - 1).when(more == "f", lo + 1).otherwise(lo)
-        fine = acc["fine"] & piece.rlike(_PIECE) & (lo <= hi)
+        fine = acc["fine"] & piece["read"] & (lo <= hi)
         context = F.when(to_chapter.isNotNull(), to_chapter).otherwise(chapter)
         return F.struct(context.alias("chapter"), F.coalesce(fine, F.lit(False)).alias("fine"), F.array_append(acc["spans"], F.struct(lo.alias("lo"), hi.alias("hi"))).alias("spans"))
 
     done = lambda acc: F.when(acc["fine"], acc["spans"])
-    return F.aggregate(F.split(locator, ","), none, step, done)
+    return F.aggregate(F.transform(F.split(locator, ","), read), none, step, done)
 
 
 def parsed(references: DataFrame, column: str = "reference") -> DataFrame:

@@ -57,6 +57,21 @@ def test_no_pair_is_tried_in_vain(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_tables_of_bins_are_not_broadcast_and_hold_few_rows(spark):
+    """Spark doesn't see how much a table of bins is larger than its rows; and only levels that are homes have bins."""
+    asked = registry.QUERIES["reference_overlaps"](spark, SF)
+    assert not [x for x in plan_of(asked).splitlines() if "BroadcastHashJoin" in x and "_bin" in x]
+    points = spark.range(1000).select(F.lit("x").alias("k"), "id", F.col("id").alias("lo"), F.col("id").alias("hi"))
+    wide = spark.range(10).select(F.lit("x").alias("k"), F.col("id").alias("j"), (F.col("id") * 100).alias("f"), (F.col("id") * 100 + 99).alias("t"))
+    for join in (intervals.overlapping, intervals.within):
+        found = join(points, wide, ["k"], ("lo", "hi", "f", "t"))
+        assert found.count() == 1000
+        plan = plan_of(found)
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    looked = points.withColumn("_homes", intervals._homes(wide, "f", "t"))
+    assert looked.first()["_homes"] == [1]
+
+
 def test_text_graph_files(spark, tmp_path):
     """Numbers, ranges, lists and values alone, read whole and in many splits."""
     rng, want, lines, last = random.Random(1), [], ["@node", "@valueType=str", ""], 0
