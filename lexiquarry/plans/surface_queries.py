@@ -43,7 +43,10 @@ def sketch_bounds(spark, d):
     exact = rows.select(hashing.shard_of(F.col("work_index")).alias("shard"), "text").select(group, "text")
     tokens = exact.select("shard_or_all", F.explode(F.array_distinct(text.search_tokens(F.col("text")))).alias("t")).groupBy("shard_or_all").agg(F.count_distinct("t").alias("distinct_tokens"))
     made = made.withColumn("middle", sketches.length_at(0.5))
-    counted = exact.join(made.select("shard_or_all", "middle"), "shard_or_all").groupBy("shard_or_all").agg(F.count(F.lit(1)).alias("documents"), F.avg((F.length("text") <= F.col("middle")).cast("int")).alias("upto"), F.avg((F.length("text") < F.col("middle")).cast("int")).alias("below"))
+    # a row for each shard and one for all; a text's length goes to them, so that no row of the largest group is shuffled
+    middles = F.broadcast(made.select("shard_or_all", "middle"))
+    lengths = rows.select(hashing.shard_of(F.col("work_index")).alias("shard"), F.length("text").alias("n")).select(group, "n")
+    counted = lengths.join(middles, "shard_or_all").groupBy("shard_or_all").agg(F.count(F.lit(1)).alias("documents"), F.avg((F.col("n") <= F.col("middle")).cast("int")).alias("upto"), F.avg((F.col("n") < F.col("middle")).cast("int")).alias("below"))
     both = made.join(tokens, "shard_or_all").join(counted, "shard_or_all")
     near_tokens = F.abs(sketches.distinct_tokens() - F.col("distinct_tokens")) <= 4 * 0.0163 * F.col("distinct_tokens") + 1
     near_middle = (F.col("upto") >= 0.46) & (F.col("below") <= 0.54)
