@@ -12,12 +12,17 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MARKS = re.compile("[̀-ͯ]")
 #: Tokens of a side that a difference is made of.
 MOST_TOKENS = 250
+#: Texts that are Python strings at a time.
+TEXTS_AT_ONCE = 100
 _TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("kept", T.BooleanType())]))
 DIFF = T.StructType([T.StructField("left", _TOKENS), T.StructField("right", _TOKENS), T.StructField("cut", T.BooleanType())])
 MEMBERS = T.ArrayType(T.StructType([T.StructField("member", T.StringType()), T.StructField("content", T.BinaryType())]))
@@ -58,15 +63,28 @@ def kept_tokens(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarr
     return in_left, in_right
 
 
-@F.pandas_udf(DIFF)
-def word_diff(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """kept_tokens for arrays of tokens, of which the first MOST_TOKENS count; cut says that a side has more."""
-    rows = []
-    for sides in zip(left, right):
-        tokens = [list(x)[:MOST_TOKENS] if x is not None else [] for x in sides]
-        marks = kept_tokens(*tokens)
-        rows.append((*([{"token": t, "kept": bool(k)} for t, k in zip(*side)] for side in zip(tokens, marks)), any(x is not None and len(x) > MOST_TOKENS for x in sides)))
-    return pd.DataFrame(rows, columns=["left", "right", "cut"])
+def _marked(tokens: pa.ListArray, kept: list[np.ndarray]) -> pa.ListArray:
+    """Arrow's own columns of tokens and marks: no Python object stays for a token."""
+    offsets = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+    values = pa.StructArray.from_arrays([tokens.flatten(), pa.array(np.concatenate([np.zeros(0, bool), *kept]))], names=["token", "kept"])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+@F.arrow_udf(DIFF)
+def _word_diff(left: pa.Array, right: pa.Array) -> pa.Array:
+    sides, kept, cut = [], ([], []), np.zeros(len(left), bool)
+    for side in (left, right):
+        cut |= np.asarray(pc.fill_null(pc.greater(pc.list_value_length(side), MOST_TOKENS), False).to_numpy(zero_copy_only=False))
+        sides.append(pc.list_slice(pc.fill_null(side, []), 0, MOST_TOKENS).cast(pa.list_(pa.string())))
+    for a, b in zip(*sides):
+        for out, marks in zip(kept, kept_tokens(a.as_py(), b.as_py())):
+            out.append(marks)
+    return pa.StructArray.from_arrays([_marked(sides[0], kept[0]), _marked(sides[1], kept[1]), pa.array(cut)], names=["left", "right", "cut"])
+
+
+def word_diff(left: Column, right: Column) -> Column:
+    """kept_tokens for arrays of tokens, of which the first MOST_TOKENS count, and no more are handed over; cut says that a side has more."""
+    return _word_diff(*(F.slice(F.col(c) if isinstance(c, str) else c, 1, MOST_TOKENS + 1) for c in (left, right)))
 
 
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|.)", re.S)
@@ -140,10 +158,12 @@ def gzipped(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else gzip.compress(v, mtime=0))
 
 
-@F.pandas_udf(T.StringType())
-def plain_lines(values: pd.Series) -> pd.Series:
-    """HTML entities decoded, a byte order mark dropped, line ends made \\n."""
-    return values.map(lambda v: None if v is None else html.unescape(v).removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"))
+@F.arrow_udf(T.StringType())
+def plain_lines(values: pa.Array) -> pa.Array:
+    """HTML entities decoded, a byte order mark dropped, line ends made \\n. Texts become Python's TEXTS_AT_ONCE at a time, so that no batch is held as such."""
+    one = lambda v: None if v is None else html.unescape(v).removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    parts = [pa.array([one(v.as_py()) for v in values.slice(k, TEXTS_AT_ONCE)], pa.string()) for k in range(0, len(values), TEXTS_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 @F.pandas_udf(MEMBERS)

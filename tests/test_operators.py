@@ -8,6 +8,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from lexiquarry.functions import features, hashing, text, udfs
 from lexiquarry.operators import align, blocks, catalog, crossrefs, hierarchy, repair, search, state, validate
@@ -88,6 +89,22 @@ def test_word_diff_by_table(spark):
     assert rows[0]["d"]["cut"] and len(rows[0]["d"]["left"]) == 250 and [tuple(x) for x in rows[0]["d"]["right"]] == [("A", True), (",", False)] and rows[1]["d"]["left"] == []
 
 
+def test_word_diff_hands_over_no_more_than_it_marks(spark):
+    """Tokens beyond the marked ones stay in the JVM, and Arrow's columns take the place of Python's rows."""
+    rows = spark.createDataFrame([(["a"] * 9000, ["A", ","]), (None, None), ([], ["b"]), (["x", "é"], ["É"])], "l array<string>, r array<string>")
+    marked = rows.select("l", udfs.word_diff("l", "r").alias("d"))
+    assert "slice(l#" in marked._jdf.queryExecution().optimizedPlan().toString()
+    got = [([(x["token"], x["kept"]) for x in r["d"]["left"]], [(x["token"], x["kept"]) for x in r["d"]["right"]], r["d"]["cut"]) for r in marked.collect()]
+    assert got == [([("a", True)] + [("a", False)] * 249, [("A", True), (",", False)], True), ([], [], False), ([], [("b", False)], False), ([("x", False), ("é", True)], [("É", True)], False)]
+
+
+def test_plain_lines_of_many_texts(spark):
+    """More texts than are Python's at a time; no pandas column holds them all."""
+    assert udfs.plain_lines.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    rows = spark.createDataFrame([(k, None if k % 7 == 0 else f"\ufeff&amp;{k}\r\n\r") for k in range(250)], "k int, t string").coalesce(1)
+    assert [r[0] for r in rows.select(udfs.plain_lines("t")).collect()] == [None if k % 7 == 0 else f"&{k}\n\n" for k in range(250)]
+
+
 def _aligned(p, s):
     """The rules of alignment, step by step."""
     where = {}
