@@ -36,8 +36,9 @@ def _tables(segments: str, links: str) -> tuple[tuple[str, str], ...]:
         ),
         (
             "lexi_backlinks(target STRING) RETURNS TABLE(source STRING, reference STRING)",
-            f"""SELECT source, reference FROM (SELECT source, reference, lexi_reference(reference) AS said, lexi_reference(target) AS asked FROM {links})
-                WHERE asked <> '' AND (said = asked OR startswith(said, asked || '-') OR startswith(said, asked || ','))""",
+            # a reference names all targets that it can match, itself and what ends before a dash or a comma, which meet the target by equality
+            f"""SELECT source, reference FROM (SELECT source, reference, explode(array_distinct(transform(sequence(1, size(parts)), k -> array_join(slice(parts, 1, k), '')))) AS said
+                FROM (SELECT source, reference, split(lexi_reference(reference), '(?=[-,])') AS parts FROM {links})) WHERE said <> '' AND said = lexi_reference(target)""",
         ),
     )
 

@@ -1,9 +1,10 @@
 """SQL functions against the DataFrame functions, and summaries that add up."""
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from lexiquarry.operators import crossrefs, search, sketches
-from lexiquarry.plans import sql_surface
+from lexiquarry.plans import sql_surface, surface_queries
 
 TEXTS = [(1, "1", 0, "The word's end; the END"), (1, "2", 0, "the"), (2, "1", 0, None), (2, "1", 1, ""), (3, "x", 0, "Das Ende É the word"), (4, "1", 0, "d'or word's the-the the’")]
 LINKS = [("a", "Gen. 1:1"), ("b", "gen 1:1-3"), ("c", "Gen  1:1,4"), ("d", "Gen 1:10"), ("e", None), ("f", "Gen 1:1 f")]
@@ -41,3 +42,28 @@ def test_summaries_add_up(spark):
     twice = sketches.merged(sketches.merged(parts, "shard").unionByName(parts.select("shard", "n", "tokens", "lengths"))).select(sketches.distinct_tokens().alias("t")).first()["t"]
     assert abs(twice - want) <= 4 * 0.0163 * want + 1
     assert sketches.merged(parts.limit(0), "shard").count() == 0
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_backlinks_in_sql_meet_by_equality(spark):
+    links = spark.createDataFrame([("a", "Gen. 1:1"), ("b", "gen 1:1-3,5"), ("c", "Gen 1:10"), ("d", None), ("e", "gen 1:1,1:1")], "source string, reference string")
+    segments = spark.createDataFrame([], "work_index long, chapter string, seg_idx long, text string")
+    sql_surface.register(spark, *sql_surface.views(segments, links, "equal"))
+    asked = spark.createDataFrame([("GEN  1:1",), ("gen 1:1-3",), ("",), (None,)], "target string")
+    asked.createOrReplaceTempView("equal_asked")
+    found = spark.sql("SELECT o.target, b.source FROM equal_asked AS o, LATERAL lexi_backlinks(o.target) AS b")
+    assert sorted(map(tuple, found.collect())) == [("GEN  1:1", "a"), ("GEN  1:1", "b"), ("GEN  1:1", "e"), ("gen 1:1-3", "b")]
+    assert "NestedLoop" not in _plan(found) and "CartesianProduct" not in _plan(found)
+
+
+def test_no_text_is_shuffled_for_sketch_bounds(spark):
+    """The group of all shards holds half of the rows: they must not meet its summary in one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(surface_queries.sketch_bounds(spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 1
