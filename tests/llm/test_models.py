@@ -295,6 +295,26 @@ def test_kneser_ney_keeps_like_text(spark):
     assert all(r["kn_kept"] for r in kneser_ney.judged(frame, labels.limit(0)).collect())
 
 
+@pytest.mark.parametrize("options", [{}, {"model_rows": 0}])
+def test_kneser_ney_fits_all_trusted(spark, options):
+    """However many the trusted rows are, all but the held ones are fitted; by arrays and, where the model is too large for these, by joins."""
+    rng = random.Random(5)
+    texts = [f"own{i} " + " ".join(rng.choice("a b c d".split()) for _ in range(rng.randrange(0, 6))) for i in range(2600)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, None, None, "s", 0), (5000, "zz a", "fr", "s", 0)], DOCS).repartition(3)
+    part = {r[0]: r[1] for r in frame.selectExpr("doc_id", "pmod(xxhash64('threshold', doc_id), 3)").collect()}
+    fit = [t for i, t in enumerate(texts) if part[i]]
+    assert len(fit) > 1600
+    counts = brute_kn(fit, [[0.5, 1.0, 1.5]] * 3)[1]
+    p, _ = brute_kn(fit, [kneser_ney.discounts(spark.createDataFrame([(n,) for n, k in c.items() for _ in range(k)], "n long")) for c in counts])
+    labels = spark.createDataFrame([(i, 1) for i in range(2600)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in kneser_ney.judged(frame, labels, **options).collect()}
+    assert len(got) == 2602
+    for i, t in [*enumerate(texts[:20]), (5000, "zz a"), (None, "")]:
+        w = ["<s>", "<s>", *t.split(), "</s>"]
+        assert got[i]["kn_n_tokens"] == len(w) - 2
+        assert math.log(got[i]["kn_perplexity"]) == pytest.approx(-sum(math.log(p(*x)) for x in zip(w, w[1:], w[2:])) / (len(w) - 2), rel=1e-4)
+
+
 def test_kneser_ney_thresholds_of_few(spark):
     """At the default bound, few trusted rows give thresholds too, and a language with under 50 of them has that of all."""
     rng = random.Random(3)
