@@ -11,6 +11,25 @@ from ..functions import text
 from .catalog import STATES
 
 SHOWN = 100
+#: Estimated bytes of a key column for a part of dealt(), at most; with compressed files that is some hundred thousand rows.
+PART_BYTES = 1 << 20
+
+
+def parts(rows: DataFrame, key: str) -> int:
+    """Parts for dealt(): as many as a shuffle has, and more as the frame grows."""
+    spark = rows.sparkSession
+    size = int(str(rows.select(key)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES if size < 1 << 60 else 0))
+
+
+def dealt(rows: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """The frame by hash of a key over parts whose number follows its size and which aren't merged to 64 compressed MB, so that a task's sorts and groups stay small; rules by that key need no other shuffle."""
+    return rows.repartition(n or parts(rows, key), key)
+
+
+def counts(segments: DataFrame, key: str = "work_key") -> DataFrame:
+    """(name, n): segments by work."""
+    return dealt(segments.select(F.col(key).alias("name")), "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def violations(rows: DataFrame, rule: str, subject: Column, detail: Column | None = None) -> DataFrame:
@@ -102,9 +121,11 @@ def shown(found: DataFrame) -> DataFrame:
 
 def validated(works: DataFrame, files: DataFrame, segments: DataFrame, mapping: DataFrame, expected: dict[str, int], manifest: DataFrame | None = None) -> DataFrame:
     """One run over all rules: violations of works, payloads (files: key, content), segments, mapping(work_key), expected numbers of rows by name, and of a manifest(name, n) of segments by work."""
+    n = parts(works, "key")
+    works, files, mapping = dealt(works, "key", n), dealt(files, "key", n), dealt(mapping, "work_key", n)
     local = works.filter(F.col("content_state") == "local-readable").select("key")
     rules = [*work_rules(works, files.select("key")), *content_rules(files, local), *payload_rules(segments), *mapping_rules(mapping, local)]
     rules += count_rules(works.sparkSession, {"works": works, "readable": local, "segments": segments, "mapping": mapping}, expected)
     if manifest is not None:
-        rules += manifest_rules(manifest, segments.groupBy(F.col("work_key").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+        rules += manifest_rules(manifest, counts(segments))
     return report(rules)

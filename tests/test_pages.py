@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -58,6 +59,21 @@ def test_validated(spark):
     assert sorted(r["rule"] for r in wrong.collect()) == ["count", "manifest-count", "readable-has-payload", "work-has-mapping", "work-has-payload"]
 
 
+def test_validation_parts_follow_the_input(spark):
+    """Parts grow with the works and aren't merged again, so that no task sorts and groups more of them as they grow."""
+    seen = []
+    for n in (100, 3_000_000):
+        works = spark.range(n).select(F.concat(F.lit("w/"), "id").alias("key"), F.lit("local-readable").alias("content_state"), F.lit("r").alias("reader_path"), F.lit(None).cast("string").alias("source_url"))
+        segments = works.select(F.col("key").alias("work_key"), F.lit("1").alias("chapter"), F.lit(0).alias("seg_idx"), F.lit("t").alias("text"))
+        files, mapping = works.select("key", F.lit('{"chapters":{"1":[{"text":"a"}]}}').alias("content")), works.select(F.col("key").alias("work_key"))
+        made = validate.validated(works, files, segments, mapping, {"works": n}, works.select(F.col("key").alias("name"), F.lit(1).cast("long").alias("n")))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        into = [int(x) for x in re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\)", plan)]
+        assert into and min(into) >= validate.parts(works, "key") and "REPARTITION_BY_NUM" in plan
+        seen.append(validate.counts(segments).rdd.getNumPartitions())
+    assert seen[0] == int(spark.conf.get("spark.sql.shuffle.partitions")) and seen[1] >= 10 * seen[0]
+
+
 def test_records_and_assets(spark):
     made = "edition_id string, edition_ord int, edition_title string, collection_label string, edition_reader_url string, edition_url string, id string, book_ord int, title string, name string, chapters int, verses int, reader_url string, source_url string, reader_availability string, bundled_json boolean, local_mirror boolean, availability string, searchable boolean"
     rows = [("e", 1, "E", None, None, "u", "2", 0, None, "N", 3, None, None, "", "source-only", True, None, "x", True), ("e", 0, "E", "", None, None, "1", 0, "T", "", None, 4, "r", None, None, None, None, None, None)]
