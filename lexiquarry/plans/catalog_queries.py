@@ -130,7 +130,8 @@ def orphan_anti(spark, d):
 
 def fk_violations(spark, d):
     docs, labels = table(spark, d, "documents").select(F.col("doc_id").alias("key")), table(spark, d, "labels").select(F.col("doc_id").alias("work_key"))
-    return validate.report(validate.mapping_rules(labels, docs))
+    n = validate.parts(docs, "key")
+    return validate.report(validate.mapping_rules(validate.dealt(labels, "work_key", n), validate.dealt(docs, "key", n)))
 
 
 def duplicate_keys(spark, d):
@@ -138,7 +139,7 @@ def duplicate_keys(spark, d):
 
 
 def work_validation(spark, d):
-    rows = works(spark, d).select("key", "content_state", F.when(F.col("work_index") % 13 != 0, F.col("key")).alias("reader_path"), F.when(F.col("work_index") % 5 == 0, "ftp://x").otherwise("https://x").alias("source_url"))
+    rows = validate.dealt(works(spark, d).select("key", "content_state", F.when(F.col("work_index") % 13 != 0, F.col("key")).alias("reader_path"), F.when(F.col("work_index") % 5 == 0, "ftp://x").otherwise("https://x").alias("source_url")), "key")
     local = rows.filter("content_state = 'local-readable' OR key LIKE '%7'").select("key")
     return validate.report(validate.work_rules(rows, local))
 

@@ -120,7 +120,7 @@ def content_validation(spark, d):
     """Payloads that are broken by rule: not JSON, without sections, a section that isn't a list, blank texts, no payload at all."""
     k = F.col("c_custkey")
     content = F.when(k % 11 == 0, "{broken").when(k % 11 == 1, '{"chapters":{}}').when(k % 11 == 2, '{"chapters":{"1":"text"}}').when(k % 11 == 3, '{"chapters":{"1":[{"text":"a"},{"text":" "},{"text":5},{}]}}').otherwise('{"chapters":{"1":[{"text":"a"}],"2":[]}}')
-    files = table(spark, d, "customer").select(F.concat(F.lit("c/"), k).alias("key"), content.alias("content"), k)
+    files = validate.dealt(table(spark, d, "customer").select(F.concat(F.lit("c/"), k).alias("key"), content.alias("content"), k), "key")
     return validate.report(validate.content_rules(files.filter("c_custkey % 11 <> 4").drop("c_custkey"), files.select("key")))
 
 
