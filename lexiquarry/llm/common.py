@@ -118,14 +118,14 @@ def _buckets(df: DataFrame) -> int:
     return min(20_000, 2 * tasks)
 
 
-def bucketed(df: DataFrame, key: str, name: str, like: DataFrame | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, like: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """The frame written in buckets of a column, from which joins by that column alone start without a shuffle of this side.
 
-    There are as many buckets as a frame of the size of `like` (df, where none is given) needs; a join's own size is only a bound.
+    Unless their number is given, there are as many buckets as a frame of the size of `like` (df, where none is given) needs; a join's own size is only a bound.
     """
     spark, path = df.sparkSession, _path(df.sparkSession, name)
     table = f"lexiquarry_{re.sub('[^a-z0-9]', '_', name)}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").bucketBy(_buckets(df if like is None else like), key).option("path", path).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets or _buckets(df if like is None else like), key).option("path", path).saveAsTable(table)
     _tables[path] = table
     return _noted(spark.table(table), path)
 

@@ -5,8 +5,8 @@ discounts and interpolated probabilities come from joins of count tables sharded
 is then scored against them, and a text goes whose perplexity is above its language's quantile over trusted texts that
 the model has not seen: a fixed share of all trusted rows, whatever their number.
 
-The fitted tables are counted. Up to MODEL_ROWS they travel to the executors as sorted arrays, and the texts aren't
-shuffled; beyond that the texts' n-grams meet them by joins.
+The rows of the fitted tables have a bound by the fitted bytes. Up to MODEL_ROWS the tables travel to the executors as
+sorted arrays; beyond that gram_parts fits and scores over packed positions. Texts aren't shuffled by either.
 """
 
 from __future__ import annotations
@@ -21,19 +21,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PLACE_BITS, bounded_sample, cut, lookup_join, stash
+from .gram_parts import END as _END
+from .gram_parts import START as _START
+from .gram_parts import _K, by_parts, discounts_of, mixed
 
 #: Of the trusted rows, one in so many by a hash of doc_id sets thresholds and isn't fitted.
 THRESHOLD_PART = 3
 #: Rows of the fitted tables that are sent to every executor, at most; twelve bytes each.
 MODEL_ROWS = 4_000_000
+#: Fitted rows whose ids are broadcast, at most; beyond, the join by them shuffles the texts.
+FIT_BROADCAST = 2_000_000
 #: A text goes if its perplexity is above this quantile of its language's trusted texts.
 QUANTILE = 0.99
 #: A language with fewer trusted texts for its threshold uses the quantile over those of all languages.
 LEAST_TRUSTED = 50
 #: Positions that are scored at once, about.
 TOGETHER = 100_000
-_START, _END = 1, 2
-_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grams:
@@ -57,21 +60,9 @@ class Grams:
         return c, mixed(b, c), mixed(b, _K), mixed(mixed(a, b), c), mixed(a, b)
 
 
-def mixed(x: np.ndarray, y) -> np.ndarray:
-    h = x * _K + y
-    h ^= h >> np.uint64(31)
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def discounts(counts: DataFrame) -> list[float]:
-    """Chen and Goodman's three discounts from how many n-grams occur once to four times; 0.5, 1 and 1.5 where these are too few to say."""
-    n = {r["n"]: r["k"] for r in counts.filter("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    if not n.get(1) or not n.get(2):
-        return [0.5, 1.0, 1.5]
-    y = n[1] / (n[1] + 2 * n[2])
-    raw = [k - (k + 1) * y * n.get(k + 1, 0) / n[k] if n.get(k) else k / 2 for k in (1, 2, 3)]
-    return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
+    """discounts_of() n-grams with their numbers n."""
+    return discounts_of({r["n"]: r["k"] for r in counts.filter("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()})
 
 
 def less(d: list[float]) -> Column:
@@ -156,7 +147,7 @@ def likelihoods_by_joins(texts: DataFrame, model: DataFrame) -> DataFrame:
 
     A row's equal trigrams are one row with their number before anything is shuffled. Rows that a higher order knows meet
     no lower one. This moves every distinct trigram of every text up to five times, several times the input, which is why
-    judged() goes the other way; a test holds the two against each other.
+    judged() goes the other ways; it is the plain form that tests hold against the arrays.
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +213,6 @@ def by_arrays(docs: DataFrame, model: DataFrame, prefix: str) -> DataFrame:
     return stash(docs.mapInArrow(score, schema), "scored")
 
 
-def by_joins(docs: DataFrame, model: DataFrame, prefix: str) -> DataFrame:
-    """by_arrays() by joins with the model's tables."""
-    row = prefix + "row"
-    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    sums = likelihoods_by_joins(rows.select("text", F.col(row).alias("row")), model)
-    ppl = F.exp(F.least(F.lit(700.0), -F.col("log_likelihood") / F.col("n_tokens")))
-    sums = sums.select(F.col("row").alias(row), F.col("n_tokens").alias(prefix + "n_tokens"), ppl.alias(prefix + "perplexity"))
-    return stash(rows.drop("text").join(sums, row).drop(row), "scored")
-
-
 def judged(docs: DataFrame, labels: DataFrame, rows: int | None = None, size: int = 8 << 20, quantile: float = QUANTILE, prefix: str = "kn_", model_rows: int = MODEL_ROWS) -> DataFrame:
     """docs(doc_id, lang, text) less its text, with <prefix>n_tokens, perplexity, threshold and kept.
 
@@ -247,8 +228,17 @@ def judged(docs: DataFrame, labels: DataFrame, rows: int | None = None, size: in
     if rows is not None:
         by_language = docs.select("doc_id", language.alias("language")).join(fit, "doc_id").groupBy("doc_id").agg(F.min("language").alias("language"))
         fit = bounded_sample(docs, by_language, "trusted", rows, size, "language")
-    model = stash(fitted(docs.select("doc_id", "text").join(fit, "doc_id")), "model")
-    scored = (by_arrays if model.count() <= model_rows else by_joins)(docs, model, prefix)
+        fit = fit.select("doc_id")
+    fit = cut(fit)
+    if fit.count() <= FIT_BROADCAST:
+        fit = F.broadcast(fit)
+    size_of = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    size, n = size_of(docs.select("doc_id", "text").join(fit, "doc_id"))
+    # a text has a word for two bytes at most and one more, and its end; a word has five rows at most
+    if 5 * (size // 2 + 2 * n) <= model_rows:
+        scored = by_arrays(docs, stash(fitted(docs.select("doc_id", "text").join(fit, "doc_id")), "model"), prefix)
+    else:
+        scored = by_parts(docs, fit, size_of(docs)[0] / max(1, size), prefix)
     key, ppl = prefix + "language", F.col(prefix + "perplexity")
     scored = scored.withColumn(key, language)
     marked = scored.select("doc_id", key, ppl.alias("ppl")).join(ids.filter(held).withColumn("trusted", F.lit(True)), "doc_id", "left")

@@ -4,12 +4,13 @@ import itertools
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import hnsw, jaccard_join, kneser_ney, lattice_lm, toxicity
+from lexiquarry.llm import common, gram_parts, hnsw, jaccard_join, kneser_ney, lattice_lm, toxicity
 from lexiquarry.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -315,6 +316,39 @@ def test_kneser_ney_fits_all_trusted(spark, options):
         assert math.log(got[i]["kn_perplexity"]) == pytest.approx(-sum(math.log(p(*x)) for x in zip(w, w[1:], w[2:])) / (len(w) - 2), rel=1e-4)
 
 
+@pytest.mark.parametrize("codes, parts", [(1 << 20, 12), (5, 40), (40, 3)])
+def test_kneser_ney_parts(spark, monkeypatch, codes, parts):
+    """Scores by parts against the definition, with words beyond the numbered ones and words dealt over several parts; equal texts have equal scores."""
+    monkeypatch.setattr(gram_parts, "CODES", codes)
+    monkeypatch.setattr(gram_parts, "PARTS", parts)
+    monkeypatch.setattr(gram_parts, "TOGETHER", 500)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("The the THE of of a") if rng.random() < 0.5 else f"w{int(rng.paretovariate(0.5)) % 300}" for _ in range(rng.randrange(0, 25))) for _ in range(300)]
+    new = ["unseen words only", "the unseen of the", "", *texts[:10]]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + new)] + [(None, None, None)], "doc_id long, text string, lang string").repartition(3)
+    p, _ = brute_kn(texts, [kneser_ney.discounts(spark.createDataFrame([(n,) for n, k in c.items() for _ in range(k)], "n long")) for c in brute_kn(texts, [[0.5, 1.0, 1.5]] * 3)[1]])
+    got = {r["doc_id"]: r for r in gram_parts.by_parts(frame, spark.range(300).withColumnRenamed("id", "doc_id"), 1.1, "x_").collect()}
+    assert len(got) == 314 and set(got[0].asDict()) == {"doc_id", "lang", "x_n_tokens", "x_perplexity"}
+    for i, t in [*enumerate(texts + new), (None, "")]:
+        w = ["<s>", "<s>", *t.lower().split(), "</s>"]
+        assert got[i]["x_n_tokens"] == len(w) - 2
+        assert math.log(got[i]["x_perplexity"]) == pytest.approx(-sum(math.log(p(*x)) for x in zip(w, w[1:], w[2:])) / (len(w) - 2), rel=1e-5)
+    assert all(got[i]["x_perplexity"] == got[303 + i]["x_perplexity"] for i in range(10))
+
+
+def test_kneser_ney_writes_little(spark, monkeypatch):
+    """All tables that a fit and the scores beyond arrays write, none deleted, take few bytes for a position."""
+    monkeypatch.setattr(common, "remove", lambda spark, paths: None)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 20_000}" for _ in range(1000)) for _ in range(300)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(2)
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(x.stat().st_size for x in folder.rglob("*.parquet"))
+    before = size()
+    assert kneser_ney.judged(frame, spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int"), model_rows=0).count() == 300
+    assert size() - before < 10 * 300 * 1001
+
+
 def test_kneser_ney_thresholds_of_few(spark):
     """At the default bound, few trusted rows give thresholds too, and a language with under 50 of them has that of all."""
     rng = random.Random(3)
