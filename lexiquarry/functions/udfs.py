@@ -9,6 +9,8 @@ import json
 import re
 import unicodedata
 import zipfile
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MARKS = re.compile("[̀-ͯ]")
-#: Tokens of a side that a difference is made of.
+#: Tokens of a side that word_diff is made of.
 MOST_TOKENS = 250
+#: Bytes of the table behind a difference that are held at a time, and of places of words; longer texts take their rows' square root.
+ROWS_BYTES = 1 << 24
 #: Texts that are Python strings at a time.
 TEXTS_AT_ONCE = 100
 _TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("kept", T.BooleanType())]))
@@ -36,30 +40,65 @@ def nfkd_fold(values: pd.Series) -> pd.Series:
 
 
 def norm_word(word: str) -> str:
-    return "".join(c for c in word.lower() if unicodedata.category(c)[0] in "LN")
+    low = word.lower()
+    return low if low.isalnum() else "".join(c for c in low if unicodedata.category(c)[0] in "LN")
 
 
-def kept_tokens(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def kept_tokens(left: list[str], right: list[str], most_bytes: int = ROWS_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Which tokens of both sides are in their longest common subsequence of normalised words; tokens without letters and digits are in none.
 
-    Of several such subsequences it is the one whose walk from the front passes over the right side's tokens first.
+    Of several such subsequences it is the one whose walk from the front passes over the right side's tokens first. Time
+    grows with the product of both lengths, a machine word for 30 tokens of the right side. Rows of the table beyond most_bytes
+    are made twice, from every so many that are held.
     """
-    words: dict[str, int] = {"": -1}
-    a, b = (np.asarray([words.setdefault(norm_word(w), len(words)) for w in side], np.int64) for side in (left, right))
-    b = np.where(b < 0, -2, b)
-    # rest[i, j]: the length for what follows places i and j; a row is the running maximum, from the right, of what a match or the row below gives
-    rest = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        best = np.where(b == a[i], rest[i + 1, 1:] + 1, rest[i + 1, :-1])
-        rest[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    in_left, in_right = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    at = [0, 0]
-    while at[0] < len(a) and at[1] < len(b):
-        i, j = at
-        step = (1, 1) if a[i] == b[j] else (0, 1) if rest[i, j + 1] >= rest[i + 1, j] else (1, 0)
-        if step == (1, 1):
-            in_left[i] = in_right[j] = True
-        at = [i + step[0], j + step[1]]
+    norms, words = {"": 0}, {}
+    for w in (*left, *right):
+        if w not in words:
+            words[w] = norms.setdefault(norm_word(w), len(norms))
+    a, b = ([words[w] for w in side] for side in (left, right))
+    n, m = len(a), len(b)
+    places: dict[int, list[int]] = {}
+    for j, word in enumerate(b):
+        if word:
+            places.setdefault(word, []).append(m - 1 - j)
+
+    @lru_cache(max(1, most_bytes * 8 // (m + 8)))
+    def mask(word: int) -> int:
+        """The right side's places of a word, the last place as the lowest bit."""
+        bits = bytearray(m // 8 + 1)
+        for p in places.get(word, ()):
+            bits[p >> 3] |= 1 << (p & 7)
+        return int.from_bytes(bits, "little")
+
+    # a row has a bit for each place of the right side: 0 where the common subsequence of what follows is longer with that place than without
+    every = (1 << m) - 1
+
+    def above(row: int, word: int) -> int:
+        hit = row & mask(word)
+        return (row + hit | row - hit) & every if hit else row
+
+    step = max(n, 1) if n * m <= most_bytes * 8 else isqrt(n) + 1
+    held = {n: every}
+    row = every
+    for i in range(n - 1, step - 1, -1):
+        row = above(row, a[i])
+        if i % step == 0:
+            held[i] = row
+    in_left, in_right = np.zeros(n, bool), np.zeros(m, bool)
+    left_over = m
+    for start in range(0, n, step):
+        end = min(start + step, n)
+        rows = [held.pop(end)]
+        for i in range(end - 1, start - 1, -1):
+            rows.append(above(rows[-1], a[i]))
+        for i in range(start, end):
+            # the next place of the right side that the word is at, or that can't be passed over without loss
+            left_over = ((every ^ rows.pop() | mask(a[i])) & ((1 << left_over) - 1)).bit_length()
+            if not left_over:
+                return in_left, in_right
+            if b[m - left_over] == a[i]:
+                in_left[i] = in_right[m - left_over] = True
+                left_over -= 1
     return in_left, in_right
 
 
@@ -70,23 +109,40 @@ def _marked(tokens: pa.ListArray, kept: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-@F.arrow_udf(DIFF)
-def _word_diff(left: pa.Array, right: pa.Array) -> pa.Array:
+def _diff(left: pa.Array, right: pa.Array, most: int | None = None) -> pa.StructArray:
     sides, kept, cut = [], ([], []), np.zeros(len(left), bool)
     for side in (left, right):
-        cut |= np.asarray(pc.fill_null(pc.greater(pc.list_value_length(side), MOST_TOKENS), False).to_numpy(zero_copy_only=False))
-        sides.append(pc.list_slice(pc.fill_null(side, []), 0, MOST_TOKENS).cast(pa.list_(pa.string())))
+        side = pc.fill_null(side, [])
+        if most is not None:
+            cut |= pc.greater(pc.list_value_length(side), most).to_numpy(zero_copy_only=False)
+            side = pc.list_slice(side, 0, most)
+        sides.append(side.cast(pa.list_(pa.string())))
     for a, b in zip(*sides):
         for out, marks in zip(kept, kept_tokens(a.as_py(), b.as_py())):
             out.append(marks)
     return pa.StructArray.from_arrays([_marked(sides[0], kept[0]), _marked(sides[1], kept[1]), pa.array(cut)], names=["left", "right", "cut"])
 
 
+@F.arrow_udf(DIFF)
+def _word_diff(left: pa.Array, right: pa.Array) -> pa.Array:
+    return _diff(left, right, MOST_TOKENS)
+
+
+@F.arrow_udf(DIFF)
+def _whole_diff(left: pa.Array, right: pa.Array) -> pa.Array:
+    return _diff(left, right)
+
+
 def word_diff(left: Column, right: Column) -> Column:
     """kept_tokens for arrays of tokens, of which the first MOST_TOKENS count, and no more are handed over; cut says that a side has more."""
     return _word_diff(*(F.slice(F.col(c) if isinstance(c, str) else c, 1, MOST_TOKENS + 1) for c in (left, right)))
 
 
+def whole_diff(left: Column, right: Column) -> Column:
+    """kept_tokens for arrays of tokens, all of them; cut is false."""
+    return _whole_diff(left, right)
+
+
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|.)", re.S)
 _ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": ""}
 

@@ -12,7 +12,7 @@ from .text_queries import _FOUND, _SIDES, QUESTION, documents, table
 
 
 def compare_editions(spark, d):
-    """Conversations as works in two editions, what users said and what assistants said, four turns a chapter; every pair, passage by passage, with each token's mark."""
+    """Conversations as works in two editions, what users said and what assistants said, four turns a chapter; every pair, passage by passage, with each token's mark. Whole texts are compared, so truncated is false where there are marks."""
     rows = table(spark, d, "conversations")
     key = F.concat(F.col("role"), F.lit("/"), F.col("conv_id"))
     n = F.floor(F.col("turn") / 2)
@@ -116,8 +116,11 @@ _MARKED = r"""t AS MATERIALIZED (SELECT id, lw[:250] AS lw, rw[:250] AS rw, [reg
       FROM w JOIN t USING (id) LEFT JOIN rows x ON x.id = w.id AND x.i = w.i - 1 LEFT JOIN rows y ON y.id = w.id AND y.i = w.i WHERE w.i <= len(l) OR w.j <= len(r)) AS n),
   m AS (SELECT w.id, cut, [lm[g] || lw[g] FOR g IN range(1, len(lw) + 1)] AS lt, [rm[g] || rw[g] FOR g IN range(1, len(rw) + 1)] AS rt FROM w JOIN t USING (id) WHERE i > len(l) AND j > len(r))"""
 
+# the same for all tokens
+_ALL_MARKED = _MARKED.replace("[:250]", "").replace("len(lw) > 250 OR len(rw) > 250 AS cut", "false AS cut")
+
 ORACLES = {
-    "compare_editions": f"""WITH RECURSIVE {_COMPARED}, sides AS (SELECT id, lt, rt FROM e WHERE different AND coalesce(lt, '') <> '' AND coalesce(rt, '') <> ''), {_MARKED} SELECT one AS "primary", other AS secondary, chapter, CAST(pos + 1 AS VARCHAR) AS label, primary_index, secondary_index, different, md5(array_to_string(m.lt, ' ')) AS left_marks, md5(array_to_string(m.rt, ' ')) AS right_marks, cut AS truncated FROM e LEFT JOIN m USING (id)""",
+    "compare_editions": f"""WITH RECURSIVE {_COMPARED}, sides AS (SELECT id, lt, rt FROM e WHERE different AND coalesce(lt, '') <> '' AND coalesce(rt, '') <> ''), {_ALL_MARKED} SELECT one AS "primary", other AS secondary, chapter, CAST(pos + 1 AS VARCHAR) AS label, primary_index, secondary_index, different, md5(array_to_string(m.lt, ' ')) AS left_marks, md5(array_to_string(m.rt, ' ')) AS right_marks, cut AS truncated FROM e LEFT JOIN m USING (id)""",
     "word_diff": f"""WITH RECURSIVE {_SIDES.format(label="CAST(NULL AS VARCHAR)")}, e AS (SELECT r.*, q.text AS secondary_text, row_number() OVER (ORDER BY r.conv_id, primary_index, secondary_index) AS id FROM r LEFT JOIN s q ON r.conv_id = q.conv_id AND r.secondary_index = q.idx),
       sides AS (SELECT id, coalesce(primary_text, '') AS lt, coalesce(secondary_text, '') AS rt FROM e), {_MARKED}
       SELECT conv_id, label, primary_index, secondary_index, CAST(len(list_filter(m.lt, lambda x: x[1] = '~')) AS INTEGER) AS left_changed, CAST(len(list_filter(m.rt, lambda x: x[1] = '~')) AS INTEGER) AS right_changed, cut AS truncated FROM e JOIN m USING (id)""",

@@ -89,6 +89,32 @@ def test_word_diff_by_table(spark):
     assert rows[0]["d"]["cut"] and len(rows[0]["d"]["left"]) == 250 and [tuple(x) for x in rows[0]["d"]["right"]] == [("A", True), (",", False)] and rows[1]["d"]["left"] == []
 
 
+def test_kept_tokens_in_blocks():
+    """Rows that are made twice, and the plain table walked from the front, mark the same tokens."""
+
+    def walked(a, b):
+        rest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                rest[i][j] = rest[i + 1][j + 1] + 1 if a[i] == b[j] != "," else max(rest[i + 1][j], rest[i][j + 1])
+        i, j, marks = 0, 0, ([False] * len(a), [False] * len(b))
+        while i < len(a) and j < len(b):
+            if a[i] == b[j] != ",":
+                marks[0][i] = marks[1][j] = True
+                i, j = i + 1, j + 1
+            elif rest[i][j + 1] >= rest[i + 1][j]:
+                j += 1
+            else:
+                i += 1
+        return marks
+
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ([rng.choice("abcdef,") for _ in range(rng.choice([0, 1, 9, 90]))] for _ in range(2))
+        for most in (1, 40, udfs.ROWS_BYTES):
+            assert tuple(x.tolist() for x in udfs.kept_tokens(a, b, most)) == walked(a, b)
+
+
 def test_word_diff_hands_over_no_more_than_it_marks(spark):
     """Tokens beyond the marked ones stay in the JVM, and Arrow's columns take the place of Python's rows."""
     rows = spark.createDataFrame([(["a"] * 9000, ["A", ","]), (None, None), ([], ["b"]), (["x", "é"], ["É"])], "l array<string>, r array<string>")

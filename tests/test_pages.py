@@ -5,10 +5,12 @@ import hashlib
 import re
 
 import pytest
+from conftest import SF
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexiquarry.operators import align, build, crossrefs, hierarchy, state, validate
+from lexiquarry.plans import page_queries
 from lexiquarry.sources import books
 
 
@@ -26,6 +28,23 @@ def test_compared(spark):
     assert by[None, 1]["different"] and by[None, 1]["diff"] is None and not by[None, 3]["different"]
 
 
+def test_compared_marks_whole_texts(spark):
+    """Words after the 250th are compared as the first are, and what is first on one side meets what is last on the other."""
+    words = [f"w{k}" for k in range(3000)]
+    rows = [("a", "1", 0, None, " ".join([*words, "one", "end"])), ("b", "1", 0, None, " ".join([*words, "two", "END", ","])), ("a", "1", 1, None, "x " * 300 + "tail"), ("b", "1", 1, None, "tail")]
+    segments = spark.createDataFrame(rows, "key string, chapter string, idx long, label string, text string")
+    got = align.compared(spark.createDataFrame([("a", "b")], "primary string, secondary string"), segments).orderBy("primary_index").collect()
+    changed = [[[(k, t["token"]) for k, t in enumerate(r["diff"][s]) if not t["kept"]] for s in ("left", "right")] for r in got]
+    assert changed == [[[(3000, "one")], [(3000, "two"), (3002, ",")]], [[(k, "x") for k in range(300)], []]]
+    assert [[len(r["diff"]["left"]), len(r["diff"]["right"]), r["diff"]["cut"]] for r in got] == [[3002, 3003, False], [301, 1, False]]
+
+
+def test_compare_editions_reads_its_table_a_few_times(spark):
+    """The plan repeats no input that it can share: with 130 scans the driver's memory went to it."""
+    plan = page_queries.compare_editions(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 16
+
+
 def test_passage_links(spark):
     passages = spark.createDataFrame([("w", 1, None, "Gen. 1:1"), ("w", 2, "p", "Gen 2:1")], "work string, chapter int, passage string, target string")
     refs = spark.createDataFrame([("s1", "gen 1:1-2"), ("s2", "gen 1:10"), ("s3", None), ("s4", "GEN 2:1")], "source string, reference string")
