@@ -47,15 +47,18 @@ def norm_word(word: str) -> str:
 def kept_tokens(left: list[str], right: list[str], most_bytes: int = ROWS_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Which tokens of both sides are in their longest common subsequence of normalised words; tokens without letters and digits are in none.
 
-    Of several such subsequences it is the one whose walk from the front passes over the right side's tokens first. Time
-    grows with the product of both lengths, a machine word for 30 tokens of the right side. Rows of the table beyond most_bytes
-    are made twice, from every so many that are held.
+    Of several such subsequences it is the one whose walk from the front passes over the right side's tokens first.
+    """
+    norms = {"": 0}
+    return kept_ids(*([norms.setdefault(norm_word(w), len(norms)) for w in side] for side in (left, right)), most_bytes)
+
+
+def kept_ids(a: list[int], b: list[int], most_bytes: int = ROWS_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """kept_tokens for numbers of normalised words, of which 0 is none.
+
+    Time grows with the product of both lengths, a machine word for 30 tokens of the right side. Rows of the table beyond
+    most_bytes are made twice, from every so many that are held.
     """
-    norms, words = {"": 0}, {}
-    for w in (*left, *right):
-        if w not in words:
-            words[w] = norms.setdefault(norm_word(w), len(norms))
-    a, b = ([words[w] for w in side] for side in (left, right))
     n, m = len(a), len(b)
     places: dict[int, list[int]] = {}
     for j, word in enumerate(b):
@@ -66,7 +69,7 @@ def kept_tokens(left: list[str], right: list[str], most_bytes: int = ROWS_BYTES)
     def mask(word: int) -> int:
         """The right side's places of a word, the last place as the lowest bit."""
         bits = bytearray(m // 8 + 1)
-        for p in places.get(word, ()):
+        for p in places[word]:
             bits[p >> 3] |= 1 << (p & 7)
         return int.from_bytes(bits, "little")
 
@@ -74,7 +77,7 @@ def kept_tokens(left: list[str], right: list[str], most_bytes: int = ROWS_BYTES)
     every = (1 << m) - 1
 
     def above(row: int, word: int) -> int:
-        hit = row & mask(word)
+        hit = word in places and row & mask(word)
         return (row + hit | row - hit) & every if hit else row
 
     step = max(n, 1) if n * m <= most_bytes * 8 else isqrt(n) + 1
@@ -93,7 +96,8 @@ def kept_tokens(left: list[str], right: list[str], most_bytes: int = ROWS_BYTES)
             rows.append(above(rows[-1], a[i]))
         for i in range(start, end):
             # the next place of the right side that the word is at, or that can't be passed over without loss
-            left_over = ((every ^ rows.pop() | mask(a[i])) & ((1 << left_over) - 1)).bit_length()
+            stops = every ^ rows.pop() | (mask(a[i]) if a[i] in places else 0)
+            left_over = (stops & ((1 << left_over) - 1)).bit_length()
             if not left_over:
                 return in_left, in_right
             if b[m - left_over] == a[i]:
@@ -109,6 +113,14 @@ def _marked(tokens: pa.ListArray, kept: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def _numbered(tokens: pa.ListArray, norms: dict[str, int]):
+    """Each row's tokens as numbers of their normalised words; a word that a batch repeats is a Python string once."""
+    coded = tokens.flatten().dictionary_encode()
+    flat = np.asarray([norms.setdefault(norm_word(w), len(norms)) for w in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+    ends = np.cumsum(tokens.value_lengths().to_numpy())
+    return (flat[start:end].tolist() for start, end in zip([0, *ends], ends))
+
+
 def _diff(left: pa.Array, right: pa.Array, most: int | None = None) -> pa.StructArray:
     sides, kept, cut = [], ([], []), np.zeros(len(left), bool)
     for side in (left, right):
@@ -117,8 +129,9 @@ def _diff(left: pa.Array, right: pa.Array, most: int | None = None) -> pa.Struct
             cut |= pc.greater(pc.list_value_length(side), most).to_numpy(zero_copy_only=False)
             side = pc.list_slice(side, 0, most)
         sides.append(side.cast(pa.list_(pa.string())))
-    for a, b in zip(*sides):
-        for out, marks in zip(kept, kept_tokens(a.as_py(), b.as_py())):
+    norms = {"": 0}
+    for a, b in zip(*(_numbered(side, norms) for side in sides)):
+        for out, marks in zip(kept, kept_ids(a, b)):
             out.append(marks)
     return pa.StructArray.from_arrays([_marked(sides[0], kept[0]), _marked(sides[1], kept[1]), pa.array(cut)], names=["left", "right", "cut"])
 

@@ -6,6 +6,7 @@ import json
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
@@ -115,6 +116,16 @@ def test_kept_tokens_in_blocks():
             assert tuple(x.tolist() for x in udfs.kept_tokens(a, b, most)) == walked(a, b)
 
 
+def test_diff_numbers_words_by_batch():
+    """Slices, nulls and empty sides of Arrow's columns have the marks of kept_tokens."""
+    rng = random.Random(5)
+    rows = [[None if rng.random() < 0.1 else [rng.choice(["a", "A", "É", "é", "b-", "b", ","]) for _ in range(rng.randrange(7))] for _ in range(90)] for _ in range(2)]
+    left, right = (pa.array(side, pa.list_(pa.string())).slice(20, 60) for side in rows)
+    for a, b, got in zip(rows[0][20:80], rows[1][20:80], udfs._diff(left, right).to_pylist()):
+        want = [[{"token": w, "kept": bool(k)} for w, k in zip(side, marks)] for side, marks in zip((a or [], b or []), udfs.kept_tokens(a or [], b or []))]
+        assert [got["left"], got["right"]] == want and not got["cut"]
+
+
 def test_word_diff_hands_over_no_more_than_it_marks(spark):
     """Tokens beyond the marked ones stay in the JVM, and Arrow's columns take the place of Python's rows."""
     rows = spark.createDataFrame([(["a"] * 9000, ["A", ","]), (None, None), ([], ["b"]), (["x", "é"], ["É"])], "l array<string>, r array<string>")
